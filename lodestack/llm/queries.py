@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, mixing, viterbi
 from .common import read
 
 
@@ -34,6 +34,11 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and score of the best segmentation of every document under the public 32k vocabulary's scores."""
+    return viterbi.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -41,6 +46,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op7_tokens": op7_tokens,
     "op9_bpe": op9_bpe,
 }
 ORACLES = {"op1_mix": OP1_SQL}
