@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, viterbi
-from .common import read
+from . import bpe, langid, mixing, viterbi
+from .common import is_train, read
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,9 +44,17 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of the documents that aren't held out."""
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", (~is_train(skip=0)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op7_tokens": op7_tokens,
     "op9_bpe": op9_bpe,
+    "op10_langid": op10_langid,
 }
 ORACLES = {"op1_mix": OP1_SQL}
