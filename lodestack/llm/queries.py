@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, viterbi
+from . import ann, bpe, fingerprint, langid, mixing, viterbi
 from .common import is_train, read
 
 
@@ -34,11 +34,22 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector among all others."""
+    index = ann.Index(read(spark, sf_dir, "embeddings"))
+    return index.search(index.rows.where("id % 50 = 0"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces and score of the best segmentation of every document under the public 32k vocabulary's scores."""
     return viterbi.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of every document and of its edited text."""
+    return fingerprint.compare_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
     return bpe.digest(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -53,7 +64,9 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op5_ann": op5_ann,
     "op7_tokens": op7_tokens,
+    "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
 }
