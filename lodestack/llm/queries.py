@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, langid, mixing, viterbi
+from . import ann, bpe, fingerprint, langid, mixing, pii, viterbi
 from .common import is_train, read
 
 
@@ -40,6 +40,11 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.search(index.rows.where("id % 50 = 0"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with what learnt contexts add."""
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces and score of the best segmentation of every document under the public 32k vocabulary's scores."""
     return viterbi.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -65,6 +70,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op5_ann": op5_ann,
+    "op6_pii": op6_pii,
     "op7_tokens": op7_tokens,
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
