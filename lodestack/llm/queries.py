@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, langid, mixing, pii, viterbi
+from . import ann, bpe, fingerprint, langid, mixing, ngramjoin, pii, viterbi
 from .common import is_train, read
 
 
@@ -34,6 +34,11 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document by five-word shingles of likeness 0.8 or more."""
+    return ngramjoin.join(read(spark, sf_dir, "documents"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all others."""
     index = ann.Index(read(spark, sf_dir, "embeddings"))
@@ -69,6 +74,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op4_ngram_join": op4_ngram_join,
     "op5_ann": op5_ann,
     "op6_pii": op6_pii,
     "op7_tokens": op7_tokens,
