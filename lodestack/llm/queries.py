@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, langid, mixing, ngramjoin, pii, viterbi
+from . import ann, bpe, fingerprint, langid, linededup, mixing, ngramjoin, pii, viterbi
 from .common import is_train, read
 
 
@@ -34,6 +34,31 @@ SELECT doc_id, size, source_size, target,
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, deleted lines and a digest of what is left of every document."""
+    left = linededup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_deleted").cast("long").alias("n_deleted"), F.md5("text").alias("text_md5"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
+w AS (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM l),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM w),
+f AS (SELECT s.doc_id, s.pos AS a, min(e.pos) AS b FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.pos >= s.pos AND e.cum - s.cum + s.w >= 10 GROUP BY ALL
+      UNION
+      SELECT e.doc_id, max(s.pos) AS a, e.pos AS b FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.pos >= s.pos AND e.cum - s.cum + s.w >= 10 GROUP BY e.doc_id, e.pos),
+k AS (SELECT f.doc_id, a, b, md5(array_to_string(ls[a + 1 : b + 1], chr(10))) AS content, b - a AS m FROM f JOIN d USING (doc_id)),
+e AS (SELECT *, row_number() OVER (PARTITION BY content, m ORDER BY doc_id, a) AS nth FROM k),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM e WHERE nth > 1),
+r AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted,
+             coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_deleted, 0)::BIGINT AS n_deleted, md5(r.text) AS text_md5
+FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document by five-word shingles of likeness 0.8 or more."""
     return ngramjoin.join(read(spark, sf_dir, "documents"))
@@ -74,6 +99,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_line_dedup": op2_line_dedup,
     "op4_ngram_join": op4_ngram_join,
     "op5_ann": op5_ann,
     "op6_pii": op6_pii,
@@ -82,4 +108,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
 }
-ORACLES = {"op1_mix": OP1_SQL}
+ORACLES = {"op1_mix": OP1_SQL, "op2_line_dedup": OP2_SQL}
