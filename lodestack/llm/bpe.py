@@ -351,17 +351,21 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, DIGEST)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, token_ids and byte offsets (one more than ids) of every document, for training and for decoding."""
+def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
+    """doc_id and token_ids of every document, with byte offsets (one more than ids) from which a part can be decoded."""
+    kept = [("token_ids", pa.list_(pa.int32()), "array<int>")] + [("offsets", pa.list_(pa.int64()), "array<long>")] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
             for part in text_slices(batch):
-                ids = [c.encode(t or "") for t in part["text"].to_pylist()]
-                yield pa.record_batch([part["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array([c.offsets(x) for x in ids], pa.list_(pa.int64()))], names=["doc_id", "token_ids", "offsets"])
+                split = c.pieces([t or "" for t in part["text"].to_pylist()])
+                of = c.learn(p for pieces in split for p in pieces)
+                ids = [[i for p in pieces for i in of[p][0]] for pieces in split]
+                found = [ids, [c.offsets(x) for x in ids]] if offsets else [ids]
+                yield pa.record_batch([part["doc_id"], *(pa.array(x, k[1]) for x, k in zip(found, kept))], names=["doc_id", *(k[0] for k in kept)])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, token_ids array<int>, offsets array<long>")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k[0]} {k[2]}" for k in kept))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
