@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, langid, linededup, mixing, ngramjoin, pii, viterbi
+from . import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, pii, viterbi
 from .common import is_train, read
 
 
@@ -43,7 +43,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
-w AS (SELECT *, len(regexp_extract_all(line, '[^ 	-]+')) AS w FROM l),
+w AS (SELECT *, len(regexp_extract_all(line, '[^ 	-
+]+')) AS w FROM l),
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM w),
 f AS (SELECT s.doc_id, s.pos AS a, min(e.pos) AS b FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.pos >= s.pos AND e.cum - s.cum + s.w >= 10 GROUP BY ALL
       UNION
@@ -59,6 +60,11 @@ FROM documents LEFT JOIN r USING (doc_id)
 """
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz and base scores of every document by a model of the training fold."""
+    return katz.score(read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document by five-word shingles of likeness 0.8 or more."""
     return ngramjoin.join(read(spark, sf_dir, "documents"))
@@ -100,6 +106,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_line_dedup": op2_line_dedup,
+    "op3_katz": op3_katz,
     "op4_ngram_join": op4_ngram_join,
     "op5_ann": op5_ann,
     "op6_pii": op6_pii,
