@@ -148,10 +148,11 @@ def candidates(sets: DataFrame, work: Workspace, similarity: float) -> DataFrame
 def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
     """Edges between near sets of each bucket, read in blocks of SMALL.
 
-    A bucket of one block is compared in full. Of a larger one each set is linked to all leaders whose likeness can't
+    A bucket of one block is compared in full. Of a larger one each set is joined to all leaders whose likeness can't
     rule out a common neighbour (by the triangle inequality of Jaccard distances, with SLACK for the estimate), and
-    leads itself if no leader is near: no two sets above the threshold end up apart. Memory holds a block and the
-    leaders of one bucket."""
+    leads itself if no leader is near: no two sets above the threshold end up apart. Only edges that join what was
+    apart are written, so a bucket gives fewer edges than twice its sets. Memory holds a block and the leaders of one
+    bucket."""
     near_enough = similarity - SLACK
     leads = similarity - 0.1
     related = 1 - (1 - similarity) - (1 - (leads - SLACK)) - SLACK
@@ -160,31 +161,44 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
         block_k: list[int] = []
         block_s: list[np.ndarray] = []
         leaders: tuple[list[int], list[np.ndarray]] = ([], [])
+        over: list[int] = []  # of each leader, one that it is joined to, itself at the root
         path, blocks = None, 0
         out: tuple[list[int], list[int]] = ([], [])
 
-        def alike(k: np.ndarray, s: np.ndarray) -> None:
-            for i in range(len(k) - 1):
-                near = k[i + 1 :][(s[i + 1 :] == s[i]).mean(axis=1) >= near_enough]
-                out[0].extend([int(k[i])] * len(near)), out[1].extend(near.tolist())
+        def root(i: int) -> int:
+            while over[i] != i:
+                over[i] = over[over[i]]
+                i = over[i]
+            return i
+
+        def link(a: int, b: int) -> None:
+            out[0].append(int(a)), out[1].append(int(b))
 
         def flush(end: bool) -> None:
             nonlocal blocks
             k, s = np.array(block_k, np.int64), np.array(block_s)
             block_k.clear(), block_s.clear()
             if end and not blocks:
-                alike(k, s)
+                if len(k) > 1:
+                    label = labels(np.array([(s == x).mean(axis=1) >= near_enough for x in s]))
+                    for i in np.flatnonzero(label != np.arange(len(k))):
+                        link(k[i], k[label[i]])
             else:
                 for i in range(len(k)):
                     same = (np.array(leaders[1]) == s[i]).mean(axis=1) if leaders[0] else np.zeros(0)
-                    near = np.array(leaders[0], np.int64)[same >= related]
-                    out[0].extend([int(k[i])] * len(near)), out[1].extend(near.tolist())
+                    roots = list(dict.fromkeys(root(int(j)) for j in np.flatnonzero(same >= related)))
+                    for r in roots[1:]:
+                        link(leaders[0][r], leaders[0][roots[0]])
+                        over[r] = roots[0]
+                    if roots:
+                        link(k[i], leaders[0][roots[0]])
                     if not (same >= leads).any():
+                        over.append(roots[0] if roots else len(over))
                         leaders[0].append(int(k[i])), leaders[1].append(s[i])
             blocks += 1
             if end:
                 blocks = 0
-                leaders[0].clear(), leaders[1].clear()
+                leaders[0].clear(), leaders[1].clear(), over.clear()
 
         for batch in batches:
             for p, k, s in zip(batch["path"].to_pylist(), batch["key"].to_pylist(), signatures(batch["sig"]) if batch.num_rows else ()):
@@ -268,6 +282,17 @@ def shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def labels(near: np.ndarray) -> np.ndarray:
+    """The least member of each one's component, by a symmetric matrix of neighbours."""
+    label = np.arange(len(near))
+    while True:
+        low = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
 def linked(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> np.ndarray:
     inner = shared(a, b)
     total = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - inner
@@ -299,13 +324,7 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
             whole[: len(left), len(left) :] = near
             whole[len(left) :, : len(left)] = near.T
         links = whole @ copies
-        label = np.arange(len(every))
-        while True:  # the least label of each component
-            low = np.minimum(label, np.where(whole, label[None, :], len(every)).min(axis=1))
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
+        label = labels(whole)
         return [(keys[i], keys[label[i]], int(links[i])) for i in np.flatnonzero(links)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
