@@ -1 +1 @@
-
+"""Registered queries, by family, with the SQL that must agree with them."""

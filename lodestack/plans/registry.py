@@ -2,6 +2,43 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "wim01"
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+FLAGSHIP = "page_status_counts"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL that must agree with it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    return str(value) if isinstance(value, (int, float)) else "'" + value.replace("'", "''") + "'"
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """A VALUES table that Spark and other engines read alike; the text must hold no backslash."""
+    body = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS t({columns}))"
+
+
+from . import captures, log, matching, normalizers, scoring, writing  # noqa: E402,F401  they register themselves
