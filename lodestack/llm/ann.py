@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, tidy
 
 #: Vectors that the centroids are fitted on, at most; every vector is indexed.
 SAMPLE = 16_384
@@ -96,7 +96,7 @@ class Index:
                 bits = np.packbits(rest > 0, axis=1)
                 yield pa.record_batch([batch["id"], batch["v"], pa.array(own, pa.int32()), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(far), pa.array(fit)], names=["id", "v", "cell", "code", "far", "fit"])
 
-        coded = self.rows.mapInArrow(code, "id long, v array<double>, cell int, code binary, far double, fit double")
+        coded = self.rows.mapInArrow(tidy(code), "id long, v array<double>, cell int, code binary, far double, fit double")
         self.table = Workspace(spark, "ann").table("index", coded)
 
     def search(self, queries: DataFrame, k: int = 5, bound: float = BOUND) -> DataFrame:
@@ -147,7 +147,7 @@ class Index:
                     near.offer(np.asarray(part["id"]), x, guess, guess + slack)
             yield from near.batches()
 
-        return self.table.mapInArrow(run, "query_id long, vec_id long, score double")
+        return self.table.mapInArrow(tidy(run), "query_id long, vec_id long, score double")
 
 
 class Nearest:

@@ -22,10 +22,12 @@ import tiktoken
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import text_slices, tidy
 
 #: Pieces whose merges are kept per worker; a full cache is emptied.
-CACHE = 400_000
+CACHE = 200_000
+#: Bytes of text that are split and merged at once.
+AT_ONCE = 1 << 20
 #: Bytes beyond which a piece is merged by a heap, in n log n.
 LONG = 64
 
@@ -174,7 +176,9 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], cache: int = CACHE):
         self.ranks, self.size = ranks, cache
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.kept: dict[str, tuple[list[int], str]] = {}
+        self.kept: dict[str, tuple[int, ...]] = {}
+        self.ints = list(range(max(ranks.values()) + 1))  # one object an id, shared by all pieces kept
+        self.texts = [str(i) for i in self.ints]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         pairs = {(ranks[t[:i]] << 32 | ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         bits = max(4, (len(pairs) * 4).bit_length())
@@ -292,21 +296,21 @@ class Codec:
         where = np.searchsorted(np.array(cuts, np.int64), [0, *ends]).tolist()
         return [parts[a:b] for a, b in zip(where, where[1:])]
 
-    def learn(self, wanted: Iterable[str]) -> dict[str, tuple[list[int], str]]:
-        """Ids, and ids as text, of pieces: those kept, and the others merged together and then kept."""
+    def learn(self, wanted: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of pieces: those kept, and the others merged together and then kept."""
         wanted = set(wanted)
-        kept = self.kept
+        kept, ints = self.kept, self.ints
         missing = [p for p in wanted if p not in kept]
         if len(kept) + len(missing) > self.size:
             kept.clear()
             missing = list(wanted)
-        kept.update((p, (ids, ",".join(map(str, ids)))) for p, ids in zip(missing, self.merge_all([p.encode() for p in missing])))
+        kept.update((p, tuple([ints[i] for i in ids])) for p, ids in zip(missing, self.merge_all([p.encode() for p in missing])))
         return kept
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces([text])[0] if text else []
         of = self.learn(pieces)
-        return [i for p in pieces for i in of[p][0]]
+        return [i for p in pieces for i in of[p]]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         of = self.bytes_of
@@ -335,20 +339,19 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=AT_ONCE):
                 texts = [t or "" for t in part["text"].to_pylist()]
                 n, ids_hash, text_hash = [], [], []
                 split = c.pieces(texts)
                 of = c.learn(p for pieces in split for p in pieces)
                 for pieces in split:
-                    found = [of[p] for p in pieces]
-                    ids = [i for f in found for i in f[0]]
+                    ids = [i for p in pieces for i in of[p]]
                     n.append(len(ids))
-                    ids_hash.append(hashlib.sha256(",".join([f[1] for f in found]).encode()).hexdigest())
+                    ids_hash.append(hashlib.sha256(",".join([c.texts[i] for i in ids]).encode()).hexdigest())
                     text_hash.append(hashlib.sha256(c.decode(ids)).hexdigest())
                 yield pa.record_batch([part["doc_id"], pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, DIGEST)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(tidy(run), DIGEST)
 
 
 def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
@@ -358,14 +361,14 @@ def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=AT_ONCE):
                 split = c.pieces([t or "" for t in part["text"].to_pylist()])
                 of = c.learn(p for pieces in split for p in pieces)
-                ids = [[i for p in pieces for i in of[p][0]] for pieces in split]
+                ids = [[i for p in pieces for i in of[p]] for pieces in split]
                 found = [ids, [c.offsets(x) for x in ids]] if offsets else [ids]
                 yield pa.record_batch([part["doc_id"], *(pa.array(x, k[1]) for x, k in zip(found, kept))], names=["doc_id", *(k[0] for k in kept)])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{k[0]} {k[2]}" for k in kept))
+    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{k[0]} {k[2]}" for k in kept))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -377,4 +380,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [None if x is None else c.decode(x).decode() for x in batch["token_ids"].to_pylist()]
             yield pa.record_batch([batch["doc_id"], pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(tidy(run), "doc_id long, text string")

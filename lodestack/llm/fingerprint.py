@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, partitions, powers, text_slices
+from .common import mix, partitions, powers, text_slices, tidy
 
 #: Least hashes that a fingerprint keeps; a text of fewer phrases keeps them all.
 KEPT = 128
@@ -146,4 +146,4 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                 if out:
                     yield pa.record_batch([pa.array(x) if i else pa.array(x, pa.int64()) for i, x in enumerate(zip(*out))], names=COLUMNS)
 
-    return next_to_each_other(docs).mapInArrow(run, SCHEMA)
+    return next_to_each_other(docs).mapInArrow(tidy(run), SCHEMA)

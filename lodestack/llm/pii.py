@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_slices
+from .common import Workspace, text_slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 #: Different seeds that a pattern must introduce, the score at which it counts as sure, and rounds of scoring.
@@ -148,7 +148,7 @@ def extract(docs: DataFrame) -> DataFrame:
                 flat = [pa.array([[x for span in s[k] for x in span] for s in spans], pa.list_(pa.int32())) for k in range(4)]
                 yield pa.record_batch([part["doc_id"], pa.array(keys, pa.binary()), *flat, pa.array(near, near_type)], names=["doc_id", "text_key", *KINDS, "near"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, FOUND)
+    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(tidy(run), FOUND)
 
 
 def sure_patterns(found: DataFrame, work: Workspace, seeds: int = SEEDS, sure: float = SURE, rounds: int = ROUNDS) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import text_slices
+from .common import text_slices, tidy
 
 #: Segments whose results are kept per worker; a full cache is emptied.
 CACHE = 500_000
@@ -124,4 +124,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
                 found = [unigram.count(t or "") for t in part["text"].to_pylist()]
                 yield pa.record_batch([part["doc_id"], pa.array([n for _, n in found], pa.int64()), pa.array([s for s, _ in found], pa.float64())], names=["doc_id", "n_tokens", "score"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_tokens long, score double")
