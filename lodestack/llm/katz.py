@@ -21,12 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, is_train, mix, partitions, text_slices, word_hashes
+from .common import Workspace, is_train, mix, partitions, text_slices, tidy, word_hashes
 
 #: Counts above K aren't discounted.
 K = 5
 #: Tokens of a chunk, about; a longer text is a chunk of its own.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 #: The end of a text as a word's hash; the history of a first token, and an unknown word, as word numbers.
 END = np.uint64(0x5851F42D4C957F2D)
 START, UNKNOWN = np.int64((1 << 62) + 1), np.int64((1 << 62) + 2)
@@ -100,7 +100,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         if total:
             yield chunk()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~is_train()).alias("held"), "text").mapInArrow(run, CHUNKS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~is_train()).alias("held"), "text").mapInArrow(tidy(run), CHUNKS)
 
 
 class Chunk:
@@ -155,7 +155,7 @@ def ask_words(chunks: DataFrame, parts: int) -> DataFrame:
                 for part, a, b in ranges(owner(words, parts), parts):
                     yield pa.record_batch([pa.array([part], pa.int32()), pa.array([row["chunk"]], pa.int64()), pa.array([pack(words[a:b])]), pa.array([pack(counts[a:b])])], names=["part", "chunk", "keys", "counts"])
 
-    return chunks.mapInArrow(run, WORD_ASK)
+    return chunks.mapInArrow(tidy(run), WORD_ASK)
 
 
 def count_words(asked: DataFrame, parts: int) -> DataFrame:
@@ -179,7 +179,7 @@ def count_words(asked: DataFrame, parts: int) -> DataFrame:
             yield pa.record_batch([pa.array([x], k) for x, k in zip([part, r["chunk"], pack(total[at]), pack(numbers[at]), None, None], kinds)], names=names)
         yield pa.record_batch([pa.array([x], k) for x, k in zip([part, None, pack(total), pack(every), int(total.sum()), int((total > 0).sum())], kinds)], names=names)
 
-    return asked.repartitionById(parts, F.col("part")).mapInArrow(run, "part int, chunk long, counts binary, numbers binary, tokens long, words long")
+    return asked.repartitionById(parts, F.col("part")).mapInArrow(tidy(run), "part int, chunk long, counts binary, numbers binary, tokens long, words long")
 
 
 BIGRAM_ASK = "part int, chunk long, h binary, n binary, w binary, counts binary, w_counts binary, hot binary"
@@ -202,7 +202,7 @@ def ask_bigrams(joined: DataFrame, parts: int, hot: int) -> DataFrame:
                     own = [pack(h[first]), pack(np.diff(np.append(first, len(h)))), pack(c.w[at]), pack(c.train[at]), pack(c.w_count[at]), pack(c.spread[at][first].astype(np.uint8))]
                     yield pa.record_batch([pa.array([part], pa.int32()), pa.array([row["chunk"]], pa.int64()), *(pa.array([x]) for x in own)], names=names)
 
-    return joined.mapInArrow(run, BIGRAM_ASK)
+    return joined.mapInArrow(tidy(run), BIGRAM_ASK)
 
 
 #: Of a history: how many bigrams have the counts 1 to K, all counts, and what the base gives its seen words.
@@ -252,7 +252,7 @@ def count_bigrams(asked: DataFrame, parts: int, tokens: int, words: int) -> Data
             place = np.searchsorted(known, spread)
             yield row(part=part, hot=True, h=pack(spread), **{n: pack(s[place]) for n, s in zip(STATS, stats)})
 
-    return asked.repartitionById(parts, F.col("part")).mapInArrow(run, BIGRAMS)
+    return asked.repartitionById(parts, F.col("part")).mapInArrow(tidy(run), BIGRAMS)
 
 
 def discounts(r: list[int]) -> np.ndarray:
@@ -328,7 +328,7 @@ def score_chunks(joined: DataFrame, parts: int, hot: int, tokens: int, words: in
                 kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds)], names=names)
 
-    return joined.mapInArrow(run, SCORES)
+    return joined.mapInArrow(tidy(run), SCORES)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -373,6 +373,6 @@ def hot_stats(rows: DataFrame) -> dict[str, np.ndarray]:
             for row in batch.to_pylist():
                 yield pa.record_batch([pa.array(unpack(row["h"], np.int64)), *(pa.array(unpack(row[s], np.float64 if s == "base" else np.int64)) for s in STATS)], names=["h", *STATS])
 
-    flat = rows.select("h", *STATS).mapInArrow(run, "h long, " + ", ".join(f"{s} {'double' if s == 'base' else 'long'}" for s in STATS))
+    flat = rows.select("h", *STATS).mapInArrow(tidy(run), "h long, " + ", ".join(f"{s} {'double' if s == 'base' else 'long'}" for s in STATS))
     found = flat.groupBy("h").agg(*[F.sum(s).alias(s) for s in STATS]).orderBy("h").toArrow()
     return {name: np.array(found[name]) for name in ["h", *STATS]}
