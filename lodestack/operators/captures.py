@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import col, hits, strip
+from .order import numbered
 
 
 def classify(body, is_ats=None, content=None, structure=None, shell=None, least: int = vocab.THIN_CHARS, quorum: int = vocab.LOOSE_QUORUM) -> Column:
@@ -67,10 +68,9 @@ def plan_run(entries: DataFrame, previous: DataFrame, key: str, force: bool = Fa
 def soft_duplicates(rows: DataFrame, keys: list[str], pos: str) -> DataFrame:
     """rows with duplicate_group: groups of more than one row with equal keys, numbered by first appearance from 1.
 
-    Numbers go over groups, not rows: only one row a group is sorted."""
+    Numbers go over groups, not rows: only one row a group is sorted, in ranges."""
     groups = rows.groupBy(*keys).agg(F.min(pos).alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    numbered = groups.withColumn("duplicate_group", F.row_number().over(Window.orderBy("_first"))).drop("_n", "_first")
-    renamed = numbered.select(*[F.col(k).alias(f"_{k}") for k in keys], "duplicate_group")
+    renamed = numbered(groups, ["_first"], "duplicate_group").select(*[F.col(k).alias(f"_{k}") for k in keys], "duplicate_group")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     on = same[0]
     for s in same[1:]:
