@@ -30,7 +30,7 @@ def classify(body, is_ats=None, content=None, structure=None, shell=None, least:
 
 def structured_source(source, flag=None) -> Column:
     """A flag where given, else whether the source is more than a plain page."""
-    plain = F.lower(strip(source)).isin("", "generic", "html", "requests", "playwright", "generic-html", "trafilatura")
+    plain = F.lower(strip(source)).isin("requests/html", "playwright/html")
     return F.coalesce(*([col(flag)] if flag is not None else []), ~plain)
 
 

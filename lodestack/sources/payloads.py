@@ -175,3 +175,34 @@ def postings(rows: DataFrame, route: Column) -> DataFrame:
         own = adapter(routed.where(F.col("_route") == name).drop("_route"))
         found = own if found is None else found.unionByName(own)
     return found
+
+
+def linkedin(rows: DataFrame) -> DataFrame:
+    """A guest fragment (url, html): title, company and place by their classes, pay by its element or a line of pay."""
+    inner = lambda css: strip_html(first("html", rf'(?is)<(?:a|h1|h2|div|span)\b[^>]*class="[^"]*\b{css}\b[^"]*"[^>]*>(.*?)</(?:a|h1|h2|div|span)>'))
+    given = lambda *css: F.coalesce(*[F.nullif(inner(c), F.lit("")) for c in css])
+    text = strip_html(F.coalesce(first("html", r'(?is)<div\b[^>]*class="[^"]*show-more-less-html__markup[^"]*"[^>]*>(.*?)</div>'), F.col("html")))
+    line = first(text, r"(?im)^(.*(?:salary|compensation|base pay|pay range|annual)\b.*\$\s?\d{2,3}[,\d]*.*)$")
+    day = posting_date(first("html", r'(?i)<time\b[^>]*datetime="([^"]+)"'))
+    return _made(
+        rows, "linkedin", posting_id=first("url", r"/jobs/view/(?:[^/?#]*?-)?(\d{6,})"), title=F.coalesce(given("top-card-layout__title", "topcard__title"), F.lit("Unknown Title")), company=F.coalesce(given("topcard__org-name-link", "topcard__flavor"), F.lit("LinkedIn")),
+        location=given("topcard__flavor--bullet"), compensation=F.coalesce(given("compensation__salary", "compensation__salary-range"), F.substring(line, 1, 200)), apply_url=F.col("url"), posted_date=day, text=text,
+    )
+
+
+def first_board(candidates: DataFrame, boards: DataFrame) -> DataFrame:
+    """(url, board) of the first of each address's candidates (url, boards, posting_id) that holds its posting."""
+    one = candidates.select("url", "posting_id", F.posexplode("boards").alias("pos", "board"))
+    held = one.join(boards.select("board", "posting_id").distinct(), ["board", "posting_id"], "left_semi")
+    return held.groupBy("url").agg(F.min_by("board", "pos").alias("board"))
+
+
+def best_text(parts: DataFrame, penalty: int = 500) -> DataFrame:
+    """(url, selector, text) of the longest part of each page; a whole body must be longer by a penalty."""
+    size = F.length("text") - F.when(F.col("selector") == "body", penalty).otherwise(0)
+    return parts.groupBy("url").agg(F.max_by(F.struct("selector", "text"), F.struct(size, F.col("selector"))).alias("b")).select("url", "b.selector", "b.text")
+
+
+def engine(attempts: DataFrame, name: str = "auto") -> DataFrame:
+    """Attempts of an engine: auto takes all, others only their own and the tracking systems' answers."""
+    return attempts if name == "auto" else attempts.where(F.col("method").isin(name, "ats"))
