@@ -109,15 +109,18 @@ def title_tokens(c, stop) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(strings(stop), w)))
 
 
+#: How a page becomes text, step by step; the patterns are also valid where there is no look-around.
+HTML_STEPS = [
+    (r"(?is)<script\b.*?</script\s*>", " "), (r"(?is)<style\b.*?</style\s*>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)<li\b[^>]*>", "\n- "),
+    (r"(?i)<br\s*/?>|</?(?:p|div|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|title|body|head|html)\b[^>]*>|</li>", "\n"),
+    (r"<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
+    (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n"),
+]
+
+
 def strip_html(c) -> Column:
     """Text of a page: scripts, styles, comments and tags go, blocks and breaks end lines, entities are read."""
-    lines = chain(
-        F.coalesce(col(c), F.lit("")), (r"(?is)<(script|style)\b.*?</\1\s*>", " "), (r"(?s)<!--.*?-->", " "),
-        (r"(?i)<li\b[^>]*>", "\n- "), (r"(?i)<br\s*/?>|</?(p|div|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav|main|title|body|head|html)\b[^>]*>|</li>", "\n"),
-        (r"<[^>]+>", ""), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
-        (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n"),
-    )
-    return strip(lines)
+    return strip(chain(F.coalesce(col(c), F.lit("")), *HTML_STEPS))
 
 
 def bullet_key(c) -> Column:

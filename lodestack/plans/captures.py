@@ -16,6 +16,15 @@ OWN_CONTENT = ["licens", "copyright", "@", " the ", " der ", " que ", " les "]
 OWN_STRUCTURE = ["license", "copyright"]
 
 
+def html_sql(column: str) -> str:
+    """The steps of a page to its text in SQL."""
+    out = f"coalesce({column}, '')"
+    for pattern, to in T.HTML_STEPS:
+        new = " || ".join("chr(10)" if x == "\n" else "'" + x.replace("'", "''") + "'" for x in ([to] if "\n" not in to else [p for p in ("\n", to.replace("\n", "")) if p]))
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', {new or chr(39) * 2}, 'g')"
+    return f"regexp_replace({out}, '^\\s+|\\s+$', '', 'g')"
+
+
 def quoted(names: list[str]) -> str:
     return "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in names) + "]"
 
@@ -63,22 +72,22 @@ def host_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", identity.company_from_domain("url").alias("company"))
 
 
-@query()
+@query(f"SELECT page_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM (SELECT page_id, {html_sql('html')} AS t FROM pages)")
 def html_strip_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN14: a page's text, its length and digest."""
     body = T.strip_html("html")
     return read(spark, sf_dir, "pages").select("page_id", F.length(body).alias("n_chars"), F.md5(body).alias("text_md5"))
 
 
-def classify_sql(content: list[str], structure: list[str], least: int, quorum: int) -> str:
+def classify_sql(content: list[str], structure: list[str], least: int, quorum: int, table: str = "documents", key: str = "doc_id") -> str:
     c, s, sh = quoted(content), quoted(structure), quoted(vocab.SHELL)
     return rf"""
-WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
-h AS (SELECT doc_id, t, len(list_filter({c}, lambda m: contains(lower(t), m))) AS loose, len(list_filter({s}, lambda m: contains(lower(t), m))) AS firm,
+WITH d AS (SELECT {key}, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM {table}),
+h AS (SELECT {key}, t, len(list_filter({c}, lambda m: contains(lower(t), m))) AS loose, len(list_filter({s}, lambda m: contains(lower(t), m))) AS firm,
              len(list_filter({sh}, lambda m: contains(lower(t), m))) AS shell FROM d),
-r AS (SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN shell > 0 AND loose = 0 THEN 'shell' WHEN length(t) < {least} THEN 'short'
+r AS (SELECT {key}, CASE WHEN t = '' THEN 'empty' WHEN shell > 0 AND loose = 0 THEN 'shell' WHEN length(t) < {least} THEN 'short'
              WHEN loose = 0 THEN 'no content marker' WHEN firm = 0 AND loose < {quorum} THEN 'no section' ELSE '' END AS reason FROM h)
-SELECT doc_id, CASE reason WHEN '' THEN 'usable' WHEN 'empty' THEN 'failed' ELSE 'thin' END AS status, reason FROM r
+SELECT {key}, CASE reason WHEN '' THEN 'usable' WHEN 'empty' THEN 'failed' ELSE 'thin' END AS status, reason FROM r
 """
 
 
@@ -105,7 +114,13 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.status_counts(classify_documents_own_markers(spark, sf_dir))
 
 
-@query()
+@query(rf"""
+WITH p AS (SELECT page_id, {html_sql('html')} AS text, regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^www\.', '') AS host FROM pages),
+c AS ({classify_sql(OWN_CONTENT, OWN_STRUCTURE, 400, 2, "p", "page_id").strip()}),
+s AS (SELECT CASE WHEN row_number() OVER (PARTITION BY host ORDER BY page_id) > 1 THEN 'duplicate' ELSE status END AS status FROM p JOIN c USING (page_id)),
+k AS (SELECT unnest({quoted(vocab.STATUSES)}) AS status)
+SELECT k.status, count(s.status)::BIGINT AS n FROM k LEFT JOIN s ON k.status = s.status GROUP BY k.status
+""")
 def page_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pages by host, first one wins, text classified, states counted with zeros."""
     pages = read(spark, sf_dir, "pages").withColumn("host", identity.host("url"))
