@@ -109,3 +109,23 @@ def test_quality_gate(spark):
 def test_distinct_first(spark):
     rows = spark.createDataFrame([(["A b", "a  B ", "", "c"],)], "v array<string>")
     assert rows.select(matching.distinct_first("v")).first()[0] == ["A b", "c"]
+
+
+def test_numbers_follow_the_order(spark):
+    from lodestack.operators.order import numbered
+
+    rows = spark.range(0, 500).select((F.col("id") * 37 % 500).alias("x"), (F.col("id") % 7).alias("y"))
+    got = numbered(rows, [F.desc("y"), F.col("x")], "n").collect()
+    assert [r["n"] for r in sorted(got, key=lambda r: (-r["y"], r["x"]))] == list(range(1, 501))
+    assert numbered(rows.limit(0), ["x"], "n").count() == 0
+
+
+def test_keyed_updates_take_the_last_and_many_keys_need_no_broadcast(spark, monkeypatch):
+    rows = spark.createDataFrame([("a/one.txt", 1, 2, 3, 4), ("b/two.txt", 1, 2, 3, 4), (None, 1, 2, 3, 4)], "f string, d int, m int, s int, p int")
+    u = spark.createDataFrame([("one", 1, 50, None, None, None), ("e.txt", 2, 60, 70, None, None), ("", 3, 9, 9, 9, 9)], "key string, ord int, d int, m int, s int, p int")
+    parts = {"desire": "d", "market": "m", "style": "s", "practicality": "p"}
+    got = [sorted(map(tuple, matching.keyed_update(rows, u, "f", parts).collect()), key=str)]
+    monkeypatch.setattr(matching, "BROADCAST_ROWS", 0)
+    got.append(sorted(map(tuple, matching.keyed_update(rows, u, "f", parts).collect()), key=str))
+    assert got[0] == got[1]
+    assert ("a/one.txt", 60, 70, 3, 4, 43) in got[0] and ("b/two.txt", 1, 2, 3, 4, 2) in got[0]
