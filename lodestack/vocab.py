@@ -96,10 +96,11 @@ LAST_STATUS = "Apply Eventually: Or Skip It"
 
 # Metros by the names that fold into them.
 METROS = {
-    "sf": ["san francisco", "san francisco bay area", "bay area", "sf bay area", "sf", "oakland"],
-    "nyc": ["new york", "new york city", "nyc", "manhattan", "brooklyn"],
+    "sf": ["san francisco", "san francisco bay area", "bay area", "sf bay area", "sf", "south san francisco", "oakland"],
+    "nyc": ["new york", "new york city", "nyc", "manhattan", "brooklyn", "new york metro"],
     "la": ["los angeles", "la"],
     "dc": ["washington", "washington dc", "washington d.c.", "dc", "arlington"],
+    "seattle": ["seattle"], "austin": ["austin"], "boston": ["boston"], "chicago": ["chicago"], "denver": ["denver"], "atlanta": ["atlanta"],
 }
 
 # The contract's columns in order, with the default labels of the scores.
