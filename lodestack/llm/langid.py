@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_train, text_slices
+from .common import is_train, text_slices, tidy
 
 #: Labelled documents a language that the classifier is fitted on, about; the bound of the training sample.
-SAMPLE = 1500
+SAMPLE = 1000
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Share of the calibration documents that rejection may cost, and the confidence that is never asked to be exceeded.
@@ -132,9 +132,9 @@ def training_rows(docs: DataFrame, skip: int = 0, sample: int = SAMPLE, seed: in
             for part in text_slices(batch):
                 hits = [subwords(t) for t in part["text"].to_pylist()]
                 at = [np.flatnonzero(h) for h in hits]
-                yield pa.record_batch([part["lang"], part["key"], pa.array(at, pa.list_(pa.int32())), pa.array([h[a] for h, a in zip(hits, at)], pa.list_(pa.int64()))], names=["lang", "key", "at", "n"])
+                yield pa.record_batch([part["lang"], part["key"], pa.array(at, pa.list_(pa.int32())), pa.array([h[a] for h, a in zip(hits, at)], pa.list_(pa.int32()))], names=["lang", "key", "at", "n"])
 
-    found = chosen.mapInArrow(run, "lang string, key long, at array<int>, n array<long>").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
+    found = chosen.mapInArrow(tidy(run), "lang string, key long, at array<int>, n array<int>").toArrow().sort_by([("key", "ascending"), ("lang", "ascending")])
     rows = zip(found["lang"].to_pylist(), found["at"].to_numpy(), found["n"].to_numpy())
     return [(k, np.asarray(a), np.asarray(n)) for k, a, n in rows if len(a) > 1]
 
@@ -169,4 +169,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "score", "rejected"])
 
     schema = T.StructType(list(own.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return own.mapInArrow(run, schema)
+    return own.mapInArrow(tidy(run), schema)
