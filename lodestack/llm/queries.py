@@ -70,6 +70,20 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join(read(spark, sf_dir, "documents"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))
+                                 WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 10 * c >= 8 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id),
+k AS (SELECT x, count(*) AS n_links FROM e GROUP BY x)
+SELECT r.doc_id, min(m) AS class_id, coalesce(any_value(n_links), 0)::BIGINT AS n_links FROM r LEFT JOIN k ON k.x = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every fiftieth vector among all others."""
     index = ann.Index(read(spark, sf_dir, "embeddings"))
@@ -115,4 +129,4 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
 }
-ORACLES = {"op1_mix": OP1_SQL, "op2_line_dedup": OP2_SQL}
+ORACLES = {"op1_mix": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL}
