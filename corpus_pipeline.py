@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     class."""
     classes = Workspace(spark, "classes").table("classes", ngramjoin.join(docs))
     kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)  # ids have no bound to broadcast by
     if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         named = named.dropDuplicates(["doc_id"])
     if docs.where("doc_id IS NULL").isEmpty():

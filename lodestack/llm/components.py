@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace
@@ -11,17 +11,20 @@ from .common import Workspace
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the least node of its component.
 
+    At first every a is linked to its least b alone, and its other b's to that one: the same components by fewer
+    edges, as many a's share their b's. An a may have some b's, a b any number of a's.
+
     Each round a node takes the least label among its neighbours' and then the label of that label, so labels run
     along paths that double. Minima are combined before the shuffle, so a hub costs a row a task. Every round is a
     written table; the loop ends when no label changes."""
-    both = work.table(f"{name}-edges", edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = work.table(f"{name}-0", both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    i = 0
+    starred = work.table(f"{name}-stars", edges.where("a <> b").select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m")))
+    fewer = starred.select("a", F.col("m").alias("b")).unionByName(starred.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+    both = work.table(f"{name}-edges", fewer.unionByName(fewer.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, i = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), 0
     while True:
         i += 1
         heard = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("heard"))
         low = labels.join(heard, F.col("node") == F.col("a")).select("node", F.least("label", "heard").alias("low"), F.col("label").alias("old"))
-        low = work.table(f"{name}-{i}-low", low)
         jump = low.select(F.col("node").alias("_n"), F.col("low").alias("_l"))
         new = work.table(f"{name}-{i}", low.join(jump, F.col("low") == F.col("_n")).select("node", F.least("low", "_l").alias("label"), "old"))
         if new.where("label <> old").isEmpty():

@@ -19,15 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, text_slices, word_hashes
+from .common import Workspace, mix, text_slices, tidy, word_hashes
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
-#: Places of a signature; buckets up to SMALL sets are compared, larger ones split, up to DEPTH times.
+#: Places of a signature; buckets up to SMALL sets are compared, of larger ones what LEADERS leaders of a sample of
+#: SAMPLED don't explain is split, up to DEPTH times. A task takes about SHARE sets of a large bucket.
 PLACES, SMALL, DEPTH = 128, 64, 3
+LEADERS, SAMPLED, SHARE = 32, 256, 4096
 RECALL = 0.999999
-#: What a signature may fall short of the threshold: about four standard errors.
-SLACK = 0.14
+#: What an estimate may be off: about four standard errors at the threshold, three where they are largest.
+SLACK = 0.13
 #: Sets of one block of a group, and shingles of it, at most (a single larger set is a block).
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 
@@ -101,7 +103,7 @@ def sets_of(docs: DataFrame, runs: int = RUNS) -> DataFrame:
                     paths.append(mix(sig[places.astype(np.int64)].astype(np.uint64) ^ salts).view(np.int64))
                 yield pa.record_batch([part["doc_id"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signed, pa.binary()), pa.array(paths, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "sig", "paths"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, key long, n int, sig binary, paths array<long>")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(tidy(run), "doc_id long, key long, n int, sig binary, paths array<long>")
 
 
 def key_of(s: np.ndarray) -> int:
@@ -126,7 +128,7 @@ def _split(rows: DataFrame, depth: int, branches: int = 2) -> DataFrame:
                 to = mix(mix(path ^ (place << np.uint64(32))) + token + np.uint64(depth))
                 yield pa.record_batch([pa.array(to.view(np.int64)), batch["key"]], names=["path", "key"])
 
-    return rows.mapInArrow(run, "path long, key long")
+    return rows.mapInArrow(tidy(run), "path long, key long")
 
 
 def candidates(sets: DataFrame, work: Workspace, similarity: float) -> DataFrame:
@@ -135,27 +137,98 @@ def candidates(sets: DataFrame, work: Workspace, similarity: float) -> DataFrame
     Only keys and paths are shuffled at first; signatures are fetched for buckets of two or more sets alone."""
     level, edges = sets.select(F.explode("paths").alias("path"), "key"), []
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("path").count().where("count > 1")
+        sizes = work.table(f"sizes{depth}", level.groupBy("path").count().where("count > 1"))
         rows = work.table(f"level{depth}", level.join(sizes, "path").join(sets.select("key", "sig"), "key"))
         edges.append(_bucket_edges(rows if depth == DEPTH else rows.where(F.col("count") <= SMALL), similarity))
         large = rows.where(F.col("count") > SMALL)
         if depth == DEPTH or large.isEmpty():
             break
-        level = _split(large.select("path", "key", "sig"), depth)
+        led = work.table(f"led{depth}", _led(large, similarity))
+        edges.append(led.where("NOT rest").select("a", "b"))
+        rest = led.where("rest").select(F.col("a").alias("path"), F.col("b").alias("key"))
+        if rest.isEmpty():
+            break
+        level = _split(rest.join(sets.select("key", "sig"), "key"), depth)
     return reduce(DataFrame.unionByName, edges).distinct()
 
 
+def bounds(similarity: float) -> tuple[float, float, float]:
+    """Of estimates: near enough for a candidate; near enough to follow a leader; and, by the triangle inequality of
+    Jaccard distances, near enough to a leader that one of its followers could be a partner."""
+    leads = similarity - 0.2
+    return similarity - SLACK, leads, 1 - (1 - similarity) - (1 - (leads - SLACK)) - SLACK
+
+
+def _led(rows: DataFrame, similarity: float) -> DataFrame:
+    """(rest, a, b) of large buckets: edges to leaders, and with rest the (path, key) of sets that follow none.
+
+    Leaders are drawn from a bounded sample of each bucket; every set of the bucket is compared with them, over as many
+    tasks as the bucket needs. A set is joined to all leaders whose followers could be its partners, so a pair of which
+    one follows a leader is never apart; pairs of which both follow none meet again when the rest is split."""
+    _, leads, related = bounds(similarity)
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, own = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for p, k, s in zip(batch["path"].to_pylist(), batch["key"].to_pylist(), signatures(batch["sig"]) if batch.num_rows else ()):
+                if p != path:
+                    path, own = p, []
+                if len(own) < LEADERS and not (own and ((np.array(own) == s).mean(axis=1) >= leads).any()):
+                    own.append(s)
+                    out.append((p, k, s.tobytes()))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], names=["path", "key", "sig"])
+
+    sample = rows.where(F.pmod(F.xxhash64("key", "path"), F.col("count")) < SAMPLED)
+    leaders = sample.repartition("path").sortWithinPartitions("path", "key").select("path", "key", "sig").mapInArrow(tidy(lead), "path long, key long, sig binary")
+    shares = F.ceil(F.col("count") / SHARE)
+    paths = rows.groupBy("path").agg(F.first("count").alias("count"))
+    first = leaders.join(paths, "path").select("path", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"), F.lit(False).alias("member"), "key", "sig")
+    members = rows.select("path", F.pmod(F.xxhash64(F.lit(5), "key"), shares).alias("share"), F.lit(True).alias("member"), "key", "sig")
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, names, over = None, [], [], []
+        for batch in batches:
+            out: list[tuple] = []
+            for p, share, member, k, s in zip(*(batch[c].to_pylist() for c in ("path", "share", "member", "key")), signatures(batch["sig"]) if batch.num_rows else ()):
+                if (p, share) != at:
+                    at, own, names, over = (p, share), [], [], []
+                if not member:
+                    own.append(s), names.append(k), over.append(len(over))
+                    continue
+                same = (np.array(own) == s).mean(axis=1) if own else np.zeros(0)
+                roots = list(dict.fromkeys(root(over, int(j)) for j in np.flatnonzero(same >= related)))
+                for r in roots[1:]:
+                    out.append((False, names[r], names[roots[0]]))
+                    over[r] = roots[0]
+                if roots and names[roots[0]] != k:
+                    out.append((False, k, names[roots[0]]))
+                if not (same >= leads).any():
+                    out.append((True, p, k))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.bool_(), pa.int64(), pa.int64()))], names=["rest", "a", "b"])
+
+    dealt = first.unionByName(members).repartition("path", "share").sortWithinPartitions("path", "share", "member", "key")
+    return dealt.mapInArrow(tidy(follow), "rest boolean, a long, b long")
+
+
+def root(over: list[int], i: int) -> int:
+    """The root of i in a list of parents, halving the way."""
+    while over[i] != i:
+        over[i] = over[over[i]]
+        i = over[i]
+    return i
+
+
 def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
     """Edges between near sets of each bucket, read in blocks of SMALL.
 
-    A bucket of one block is compared in full. Of a larger one each set is joined to all leaders whose likeness can't
-    rule out a common neighbour (by the triangle inequality of Jaccard distances, with SLACK for the estimate), and
-    leads itself if no leader is near: no two sets above the threshold end up apart. Only edges that join what was
-    apart are written, so a bucket gives fewer edges than twice its sets. Memory holds a block and the leaders of one
-    bucket."""
-    near_enough = similarity - SLACK
-    leads = similarity - 0.1
-    related = 1 - (1 - similarity) - (1 - (leads - SLACK)) - SLACK
+    A bucket of one block is compared in full. Of a larger one, which DEPTH splits have left, each set is joined to
+    all leaders whose followers could be its partners, and leads itself if it follows none: no two sets above the
+    threshold end up apart. Only edges that join what was apart are written, so a bucket gives fewer edges than twice
+    its sets. Memory holds a block and the leaders of one bucket."""
+    near_enough, leads, related = bounds(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_k: list[int] = []
@@ -165,12 +238,6 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
         path, blocks = None, 0
         out: tuple[list[int], list[int]] = ([], [])
 
-        def root(i: int) -> int:
-            while over[i] != i:
-                over[i] = over[over[i]]
-                i = over[i]
-            return i
-
         def link(a: int, b: int) -> None:
             out[0].append(int(a)), out[1].append(int(b))
 
@@ -186,7 +253,7 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
             else:
                 for i in range(len(k)):
                     same = (np.array(leaders[1]) == s[i]).mean(axis=1) if leaders[0] else np.zeros(0)
-                    roots = list(dict.fromkeys(root(int(j)) for j in np.flatnonzero(same >= related)))
+                    roots = list(dict.fromkeys(root(over, int(j)) for j in np.flatnonzero(same >= related)))
                     for r in roots[1:]:
                         link(leaders[0][r], leaders[0][roots[0]])
                         over[r] = roots[0]
@@ -215,7 +282,7 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
         if out[0]:
             yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
 
-    return rows.repartition("path").sortWithinPartitions("path", "key").select("path", "key", "sig").mapInArrow(run, "a long, b long")
+    return rows.repartition("path").sortWithinPartitions("path", "key").select("path", "key", "sig").mapInArrow(tidy(run), "a long, b long")
 
 
 def _wanted(keys: DataFrame) -> tuple[bytes, int]:
@@ -251,7 +318,7 @@ def _packed(docs: DataFrame, bitmap: bytes, bits: int) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "key", "body"])
 
-    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(run, "doc_id long, key long, body binary")
+    return docs.selectExpr("CAST(doc_id AS BIGINT) doc_id", "text").mapInArrow(tidy(run), "doc_id long, key long, body binary")
 
 
 def unpack(body: bytes) -> np.ndarray:
@@ -303,14 +370,14 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
     """(key, partner, links): documents linked to a set through one pair of blocks, and an edge of its component.
 
     rows: pair of blocks (task), side, key, copies, body. A pair of blocks is bounded; sides 0 and 1 stand for the
-    two blocks, and side 0 alone for a block with itself."""
+    two blocks, and side 2 for a block with itself."""
 
     def solve(group: list[tuple]) -> list[tuple[int, int, int]]:
-        sides: list[list] = [[], []]
+        sides: list[list] = [[], [], []]
         for side, key, copies, body in group:
             sides[side].append((key, copies, unpack(body)))
-        left, right = sides[0], sides[1] or sides[0]
-        if not left or len(left) == 1 and right is left:
+        left, right = (sides[2], sides[2]) if sides[2] else sides[:2]
+        if not left or not right or len(left) == 1 and right is left:
             return []
         near = linked([x[2] for x in left], [x[2] for x in right], similarity)
         if right is left:
@@ -343,7 +410,7 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "partner", "links"])
 
-    return rows.repartition("task").sortWithinPartitions("task").select("task", "side", "key", "copies", "body").mapInArrow(run, "key long, partner long, links long")
+    return rows.repartition("task").sortWithinPartitions("task").select("task", "side", "key", "copies", "body").mapInArrow(tidy(run), "key long, partner long, links long")
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -367,7 +434,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     bodies = _packed(docs, *_wanted(members.select("doc_id", "key")))
     placed = bodies.join(members.withColumnRenamed("doc_id", "_own"), "key").where(F.col("doc_id").eqNullSafe(F.col("_own")))
     copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    copies = copies.withColumn("side", (F.col("block") > F.col("other")).cast("int")).withColumn("task", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")))
+    copies = copies.withColumn("side", F.when(F.col("block") == F.col("other"), 2).otherwise((F.col("block") > F.col("other")).cast("int"))).withColumn("task", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")))
     once = copies.dropDuplicates(["task", "key"])  # rows repeated with one id and text
     exact = work.table("exact", _exact(once, similarity))
     classes = components(exact.select(F.col("key").alias("a"), F.col("partner").alias("b")), work, "class").withColumnsRenamed({"node": "key", "label": "root"})
