@@ -12,6 +12,8 @@ def col(c) -> Column:
 
 def strip(c, chars: str = r"\s") -> Column:
     """Without leading and trailing characters of a class; null is empty."""
+    if chars == r"\s":
+        return F.btrim(F.coalesce(col(c), F.lit("")), F.lit(" \t\n\x0b\f\r"))
     return F.regexp_replace(F.coalesce(col(c), F.lit("")), f"^[{chars}]+|[{chars}]+$", "")
 
 
@@ -54,7 +56,10 @@ def lookup(c, table: dict[str, str]) -> Column:
 
 def hits(c, phrases) -> Column:
     """How many of the phrases a text contains."""
-    return F.size(F.filter(strings(phrases), lambda p: F.contains(col(c), p)))
+    found = F.lit(0)
+    for p in phrases:
+        found = found + F.contains(col(c), F.lit(p)).cast("int")
+    return found
 
 
 def slug(c, limit: int = 80) -> Column:
