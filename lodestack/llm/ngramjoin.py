@@ -28,7 +28,9 @@ WORDS, SIMILARITY = 5, 0.8
 PLACES, SMALL, DEPTH = 128, 64, 3
 LEADERS, SAMPLED, SHARE = 32, 256, 4096
 RECALL = 0.999999
-#: What an estimate may be off: about four standard errors at the threshold, three where they are largest.
+#: Of what may be missed, the share that the cut of estimates takes; the runs, which cost more, have the rest.
+CUT = 0.1
+#: What an estimate of likeness to a leader may be off.
 SLACK = 0.13
 #: Sets of one block of a group, and shingles of it, at most (a single larger set is a block).
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
@@ -73,10 +75,23 @@ def minhash(s: np.ndarray) -> np.ndarray:
 def runs_for(similarity: float, recall: float, places: int, branches: int, depth: int) -> int:
     """Runs after which a pair at the threshold has met in a last bucket with the wanted probability.
 
-    A pair survives a level if it shares one of the branches sampled there; the worst case is the full depth."""
+    A pair survives a level if it shares one of the branches sampled there; the worst case is the full depth. The
+    cut of estimates, which is the same in all runs, takes its share of what may be missed."""
     level = 1 - (1 - similarity) ** branches
     one = similarity * level ** (depth - 1)
-    return math.ceil(math.log(1 - recall) / math.log(1 - one))
+    return math.ceil(math.log((1 - recall) * (1 - CUT)) / math.log(1 - one))
+
+
+def cut_for(similarity: float, recall: float, places: int) -> float:
+    """The largest estimate below which a pair at the threshold falls with the share CUT of what may be missed at most.
+
+    Places agree independently with the probability of the likeness, so their number is binomial."""
+    below = 0.0
+    for k in range(places + 1):
+        below += math.comb(places, k) * similarity**k * (1 - similarity) ** (places - k)
+        if below > (1 - recall) * CUT:
+            return k / places
+    return 1.0
 
 
 RUNS = runs_for(SIMILARITY, RECALL, PLACES, 2, DEPTH)
@@ -156,7 +171,7 @@ def bounds(similarity: float) -> tuple[float, float, float]:
     """Of estimates: near enough for a candidate; near enough to follow a leader; and, by the triangle inequality of
     Jaccard distances, near enough to a leader that one of its followers could be a partner."""
     leads = similarity - 0.2
-    return similarity - SLACK, leads, 1 - (1 - similarity) - (1 - (leads - SLACK)) - SLACK
+    return cut_for(similarity, RECALL, PLACES), leads, 1 - (1 - similarity) - (1 - (leads - SLACK)) - SLACK
 
 
 def _led(rows: DataFrame, similarity: float) -> DataFrame:
