@@ -36,6 +36,10 @@ LOOSE = (
     ("card", re.compile(r"[0-9](?:[\x20.-]?[0-9]){12,18}")),
     ("phone", re.compile(r"\(?[0-9]{2,5}\)?(?:[\x20./-]?\(?[0-9]{2,5}\)?){1,5}")),
 )
+# Where looser shapes may begin, also inside a token: before what joins an address, at digits, at groups with colons.
+AT = re.compile(r"@|\x20?[\[(]at[\])]")
+DIGITS = re.compile(r"[0-9]++")
+GROUPS = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{1,4}+:{1,2}[0-9A-Fa-f]")
 HARD = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -93,21 +97,39 @@ def contexts(text: str, start: int) -> list[str]:
     return ([tail[-1]] if tail else []) + ([" ".join(tail)] if len(tail) == 2 else [])
 
 
+def starts(text: str) -> list[tuple[int, set[str]]]:
+    """Where looser shapes may begin, ascending, and the kinds to try there; never inside a number or a local part."""
+    out: dict[int, set[str]] = {}
+    for m in AT.finditer(text):
+        a = m.start()
+        while a and text[a - 1] in LOCAL:
+            a -= 1
+        if a < m.start():
+            out.setdefault(a, set()).add("email")
+    for m in DIGITS.finditer(text):
+        a = m.start()
+        if a < 2 or text[a - 1] not in "./-()" or not "0" <= text[a - 2] <= "9":
+            out.setdefault(a, set()).update(("card", "phone"))
+    if text.count(":") > 2:
+        for m in GROUPS.finditer(text):
+            out.setdefault(m.start(), set()).add("ip")
+    return sorted(out.items())
+
+
 def tokens(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[str, bool, int, int, str]]:
     """(kind, seed, start, end, instance) of what stands behind contexts: seeds, loose shapes, and '' for other
     tokens with a digit or @, which speak against a pattern."""
     out = [(kind, True, a, b, text[a:b]) for kind, own in zip(KINDS, spans) for a, b in own]
     taken = sorted((a, b) for own in spans for a, b in own)
     free = lambda a, b: not any(x < b and a < y for x, y in taken)
-    loose = []
+    loose, other = [], []
     at = 0
-    for hard in HARD.finditer(text):
-        if hard.start() < at or not free(*hard.span()):
+    for start, kinds in starts(text):
+        if start < at:
             continue
-        lead = len(hard[0]) - len(hard[0].lstrip("([<\"'"))
         best = None
         for kind, shape in LOOSE:
-            m = shape.match(text, hard.start() + lead)
+            m = shape.match(text, start) if kind in kinds else None
             if m and free(*m.span()) and (best is None or m.end() > best[1].end()):
                 n = len(digits_of(m[0]))
                 if kind == "email" or kind == "ip" or kind == "phone" and 7 <= n <= 15 or kind == "card" and 13 <= n <= 19 and luhn(digits_of(m[0])):
@@ -115,8 +137,13 @@ def tokens(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[str, boo
         if best:
             loose.append((best[0], False, *best[1].span(), best[1][0]))
             at = best[1].end()
-        else:
-            loose.append(("", False, *hard.span(), hard[0][:64]))
+    behind = 0  # the first loose shape that doesn't end before the token
+    for hard in HARD.finditer(text):
+        while behind < len(loose) and loose[behind][3] <= hard.start():
+            behind += 1
+        if (behind == len(loose) or loose[behind][2] >= hard.end()) and free(*hard.span()):
+            other.append(("", False, *hard.span(), hard[0][:64]))
+    loose += other
     return out + loose
 
 
