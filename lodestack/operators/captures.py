@@ -82,16 +82,16 @@ def fold_attempts(attempts: DataFrame, key: str) -> DataFrame:
     """The winning attempt of each key: (attempt, status, missing) in order of attempt.
 
     A later attempt replaces the winner so far if it improves the body's status, or is usable with strictly fewer
-    missing fields; so the outcome is a fold and no maximum."""
+    missing fields. So the first attempt of the best status wins, and of usable ones the first with the fewest missing;
+    one with an unknown number is replaced by none and replaces none. These are minima, so that a hot key's attempts
+    never gather in one task."""
     rank = F.when(F.col("status") == "usable", 2).when(F.col("status") == "thin", 1).otherwise(0)
-    tries = attempts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("attempt", rank.alias("rank"), "missing", "status"))).alias("tries"))
-
-    def better(won, new):
-        gain = (new["rank"] > won["rank"]) | ((new["rank"] == 2) & (new["missing"] < won["missing"]))
-        return F.when(gain, new).otherwise(won)
-
-    won = F.reduce(F.slice("tries", 2, 100), F.element_at("tries", 1), better)
-    return tries.select(key, won["attempt"].alias("attempt"), won["status"].alias("status"), won["missing"].alias("missing"))
+    tries = attempts.select(key, rank.alias("_r"), F.struct("attempt", "missing", "status").alias("_t"))
+    firsts = [F.min(F.when(F.col("_r") == r, F.col("_t"))).alias(f"_{r}") for r in range(3)]
+    fewest = F.min(F.when((F.col("_r") == 2) & F.col("_t.missing").isNotNull(), F.struct("_t.missing", "_t.attempt", "_t.status"))).alias("_f")
+    best = tries.groupBy(key).agg(*firsts, fewest)
+    part = lambda n: F.when(F.col("_2.missing").isNotNull(), F.col(f"_f.{n}")).otherwise(F.coalesce("_2", "_1", "_0")[n])
+    return best.select(key, part("attempt").alias("attempt"), part("status").alias("status"), part("missing").alias("missing"))
 
 
 def best_verified(new: DataFrame, old: DataFrame, key: str, regions: dict[str, list[str]]) -> DataFrame:
