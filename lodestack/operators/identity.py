@@ -86,11 +86,29 @@ def capture_key(url, apply_url=None, posting_id=None) -> Column:
     return F.coalesce(*keys, F.concat(F.lit("ashby:"), token, F.lit(":"), jid), F.concat(F.lit("greenhouse:"), token, F.lit(":"), number), normalize_url(url))
 
 
+#: Where a capture's body ends, here and in the captures of the reference.
+END = r"=== JOB POST END ===|--- JOB TEXT END ---"
+DETAIL = r"(?m)^(?:(?:Captured At|Application URL|Source|Posting ATS ID|Methods Checked|Additional Notes):\s*\S|Verification:)"
+
+
 def written_key(text) -> Column:
-    """The key of the posting that a written capture names."""
-    head = F.substring(F.coalesce(col(text), F.lit("")), 1, 4000)
+    """The key of the posting that a written capture names, by its address before the end of the body, and the
+    application address and posting id of the original details behind it, or of the latest ones where it has none."""
+    pieces = F.split(F.coalesce(col(text), F.lit("")), END, 2)
+    head, tail = F.get(pieces, F.lit(0)), F.coalesce(F.get(pieces, F.lit(1)), F.lit(""))
     url = F.coalesce(first(head, r"(?m)^Job Posting URL:[ \t]*(\S+)"), first(head, r"(?m)^(?:Source )?URL:[ \t]*(\S+)"))
-    return F.when(url.isNotNull(), capture_key(url))
+
+    def details(name: str) -> Column:
+        found = F.regexp_extract_all(tail, F.lit(rf"(?ms)^{name} CAPTURE DETAILS$(.*?)(?=^(?:ORIGINAL|LATEST) CAPTURE DETAILS$|\z)"), F.lit(1))
+        return F.coalesce(F.get(found, F.size(found) - 1), F.lit(""))
+
+    own = F.when(has(details("ORIGINAL"), DETAIL), details("ORIGINAL")).otherwise(details("LATEST"))
+
+    def field(label: str) -> Column:
+        value = strip(first(own, rf"(?m)^{label}:\s*(.*)$"))
+        return F.when(~value.isin("", "Not Available"), value)
+
+    return F.when(url.isNotNull(), capture_key(url, field("Application URL"), field("Posting ATS ID")))
 
 
 def with_filenames(postings: DataFrame) -> DataFrame:
