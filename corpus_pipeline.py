@@ -12,6 +12,8 @@ from lodestack.llm import bpe, langid, linededup, mixing, ngramjoin
 from lodestack.llm.common import Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words that a repeated run of lines must have to go: every run that holds a word.
+LINE_WORDS = 1
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those of which no word is left go."""
-    left = linededup.dedup(docs).where((F.col("n_deleted") == 0) | F.col("text").rlike(mixing.WORD))
+    left = linededup.dedup(docs, LINE_WORDS).where((F.col("n_deleted") == 0) | F.col("text").rlike(mixing.WORD))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
