@@ -22,10 +22,12 @@ import tiktoken
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
-from .common import text_slices, tidy
+from .common import KEPT, text_slices, tidy
 
-#: Pieces whose merges are kept per worker; a full cache is emptied.
-CACHE = 200_000
+#: Bytes that kept merges of pieces may take in a worker, about; a full cache is emptied, and each one when its task ends.
+CACHE = 24 << 20
+#: Bytes of a kept piece besides its characters and ids.
+ENTRY = 200
 #: Bytes of text that are split and merged at once.
 AT_ONCE = 1 << 20
 #: Bytes beyond which a piece is merged by a heap, in n log n.
@@ -174,14 +176,14 @@ class Codec:
     """Encodes and decodes by a rank file. Equal pairs merge lowest rank first, leftmost among equals."""
 
     def __init__(self, ranks: dict[bytes, int], cache: int = CACHE):
-        self.ranks, self.size = ranks, cache
+        self.ranks, self.size, self.weight = ranks, cache, 0
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.kept: dict[str, tuple[int, ...]] = {}
         self.ints = list(range(max(ranks.values()) + 1))  # one object an id, shared by all pieces kept
         self.texts = [str(i) for i in self.ints]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
         pairs = {(ranks[t[:i]] << 32 | ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        bits = max(4, (len(pairs) * 4).bit_length())
+        bits = max(4, (len(pairs) * 2).bit_length())
         self.shift = np.uint64(64 - bits)
         self.slots, self.joined = np.full((1 << bits) + 64, -1, np.int64), np.full((1 << bits) + 64, NONE, np.int64)
         self.probes = 0
@@ -301,12 +303,19 @@ class Codec:
         wanted = set(wanted)
         kept, ints = self.kept, self.ints
         missing = [p for p in wanted if p not in kept]
-        if len(kept) + len(missing) > self.size:
-            kept.clear()
+        more = sum(map(len, missing)) * 4 + len(missing) * ENTRY
+        if kept and self.weight + more > self.size:
+            self.forget()
             missing = list(wanted)
+            more = sum(map(len, missing)) * 4 + len(missing) * ENTRY
+        self.weight += more
         kept.update((p, tuple([ints[i] for i in ids])) for p, ids in zip(missing, self.merge_all([p.encode() for p in missing])))
         return kept
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.weight = 0
+
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces([text])[0] if text else []
         of = self.learn(pieces)
@@ -322,9 +331,22 @@ class Codec:
         return np.cumsum([0, *(len(of[i]) for i in ids)]).tolist()
 
 
-@lru_cache(2)
+_codecs: dict[str, Codec] = {}
+
+
 def codec(path: str) -> Codec:
-    return Codec(load_ranks(path))
+    """The codec of a rank file, one a worker and file."""
+    if path not in _codecs:
+        _codecs[path] = Codec(load_ranks(path))
+    return _codecs[path]
+
+
+def _forget() -> None:
+    for c in _codecs.values():
+        c.forget()
+
+
+KEPT.append(_forget)
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a single longer text is one step of its own.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and a worker, and the setting that bounds them.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Called in a worker when a task ends: each empties a cache of its module.
+KEPT: list[Callable[[], None]] = []
 
 _OPEN: list[tuple[SparkSession, str]] = []
 
@@ -75,15 +79,27 @@ def is_train(doc_id="doc_id", skip: int = 1):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), "UTF-8")), F.lit(5)) != skip
 
 
+def bound_batches(limit: int = BATCH_BYTES) -> None:
+    """Asks the session for Arrow batches of at most limit bytes; a lower setting stays. A task holds one on each side."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > limit:
+        spark.conf.set(BATCH_SETTING, str(limit))
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run, which gives the memory that a task has freed back to the system: workers outlive their tasks."""
+    """run over bounded batches; what a task has kept or freed goes back to the system, as workers outlive their tasks."""
+    bound_batches()
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        libc = ctypes.CDLL(None)
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        try:
+            yield from run(batches)
+        finally:
+            for forget in KEPT:
+                forget()
+            pa.default_memory_pool().release_unused()
+            libc = ctypes.CDLL(None)
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
 
     return wrapped
 
@@ -133,6 +149,13 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _forget_powers() -> None:
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+KEPT.append(_forget_powers)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every input bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import text_slices, tidy
+from .common import KEPT, text_slices, tidy
 
-#: Segments whose results are kept per worker; a full cache is emptied.
-CACHE = 500_000
+#: Bytes that kept results of segments may take in a worker, about; a full cache is emptied, and each one when its task ends.
+CACHE = 48 << 20
+#: Bytes of a kept segment besides its characters.
+ENTRY = 220
 #: Longer segments aren't kept.
 LONG = 64
 MARK = "▁"
@@ -37,7 +38,7 @@ class Unigram:
             self.machine.add_word(p, (len(p), score))
         self.machine.make_automaton()
         self.unknown = min(pieces.values()) - UNKNOWN_PENALTY
-        self.fallback, self.size = byte_fallback, cache
+        self.fallback, self.size, self.weight = byte_fallback, cache, 0
         #: No piece has a mark after another character: then no piece spans the start of a segment and a text's
         #: best path is that of its segments, one after the other.
         self.split = byte_fallback and not any(MARK in p.lstrip(MARK) for p in pieces) and MARK in pieces
@@ -71,6 +72,10 @@ class Unigram:
                 count[end] = count[at] + (not open_run[at])
         return score[n], count[n]
 
+    def forget(self) -> None:
+        self.kept.clear()
+        self.weight = 0
+
     def count(self, text: str) -> tuple[float, int]:
         """Score and number of pieces of a plain text: blanks become marks and one more stands in front."""
         if not text:
@@ -90,8 +95,9 @@ class Unigram:
             if found is None:
                 found = self.best(segment)
                 if len(segment) <= LONG:
-                    if len(kept) >= self.size:
-                        kept.clear()
+                    self.weight += ENTRY + 2 * len(segment)
+                    if self.weight > self.size:
+                        self.forget()
                     kept[segment] = found
             total += found[0]
             n += found[1]
@@ -101,8 +107,25 @@ class Unigram:
         return total, n
 
 
-@lru_cache(2)
+_vocabularies: dict[str, Unigram] = {}
+
+
 def vocabulary(path: str) -> Unigram:
+    """The vocabulary of a .model file, one a worker and file."""
+    if path not in _vocabularies:
+        _vocabularies[path] = load(path)
+    return _vocabularies[path]
+
+
+def _forget() -> None:
+    for v in _vocabularies.values():
+        v.forget()
+
+
+KEPT.append(_forget)
+
+
+def load(path: str) -> Unigram:
     """The normal pieces of a .model file with their scores."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = model.get_piece_size()
