@@ -58,9 +58,11 @@ def test_defined_results(odd):
 
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [inf, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [1e30, 1e30]), (9, [0.9, 0.1]), (50, [1.0, 2.0, 3.0]), (9, [0.9, 0.1])]
+    rows = [(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [inf, 1.0]), (7, []), (None, [1.0, 1.0]), (8, [1e30, 1e30]), (9, [0.9, 0.1]), (50, [1.0, 2.0, 3.0]), (9, [0.9, 0.1]), (10, [-1e160, 1e159]), (11, [-1e-170, 0.0])]
     index = ann.Index(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in index.search(index.rows.where("id % 50 = 0")).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1), (0, 2, 9), (0, 3, 8)]
+    assert got == [(0, 1, 1), (0, 2, 9), (0, 3, 8), (0, 4, 10), (0, 5, 11)]
+    scores = {r["vec_id"]: r["score"] for r in index.search(index.rows.where("id = 11")).collect()}
+    assert scores[0] == -1.0 and abs(scores[10] - 10 / 101**0.5) < 1e-15 and set(scores) == {0, 1, 8, 9, 10}
     none = ann.Index(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert none.search(none.rows).count() == 0
