@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,22 +103,38 @@ def next_to_each_other(docs: DataFrame) -> DataFrame:
     """doc_id, text and last, dealt so that a task holds neighbours in order: descending doc_id, null last, rows of
     one id by a hash of their text. The row behind a task's last comes along, marked last.
 
-    Ranges are cut at quantiles of the id. Of each range only its first row's key reaches the driver, so what is
-    broadcast is bounded by the number of ranges; texts are shuffled once."""
+    Ranges are cut at quantiles of the id; an id that fills more than a range, or null ids, are cut on by the hash of
+    the text. Only counts and the first row's key of each range reach the driver, and what is broadcast is bounded by
+    the number of ranges; texts are shuffled once. Rows equal in id and text follow each other in one range, through
+    which texts stream."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = partitions(spark)
     cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     place = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("doc_id")))).cast("int")
-    keyed = rows.withColumn("_part", place).withColumn("_tie", F.xxhash64("text"))
+    # a range's greatest id is its cut: it comes first, and is the one that can fill it
+    full = F.col("doc_id").isNull() | F.exists(bounds, lambda c: c == F.col("doc_id"))
+    sizes = rows.select(place.alias("place"), F.coalesce(full, F.lit(False)).alias("full")).groupBy("place", "full").count().collect()
+    share = max(1, sum(r["count"] for r in sizes) / parts)
+    split, offsets, n = [1] * (len(cuts) + 2), [], 0
+    for r in sizes:
+        if r["full"]:
+            split[r["place"]] = max(1, min(2 * parts, math.ceil(r["count"] / share)))
+    for m in split:
+        offsets.append(n)
+        n += m + 1
+    at = lambda numbers: F.get(F.array(*[F.lit(x) for x in numbers]), place)
+    deep = F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * at(split)).cast("int")
+    keyed = rows.withColumn("_tie", F.xxhash64("text"))
+    keyed = keyed.withColumn("_part", at(offsets) + F.when(F.coalesce(full, F.lit(False)), F.least(deep, at(split) - 1)).otherwise(at(split)))
     firsts = keyed.groupBy("_part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("empty"), (-F.col("doc_id")).alias("down"), F.col("_tie").alias("tie"))).alias("f"))
     found = sorted((r["_part"], -r["f"]["down"] if r["f"]["down"] is not None else None, r["f"]["tie"]) for r in firsts.collect())
     heads = [(found[i - 1][0], doc_id, tie) for i, (_, doc_id, tie) in enumerate(found)]
     heads_df = spark.createDataFrame(heads, "_to int, _id long, _t long")
-    last = keyed.join(F.broadcast(heads_df), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t")))
+    last = keyed.join(F.broadcast(heads_df), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))).dropDuplicates(["_to"])
     both = keyed.withColumn("last", F.lit(False)).select("_part", "last", "doc_id", "_tie", "text").unionByName(last.select(F.col("_to").alias("_part"), F.lit(True).alias("last"), "doc_id", "_tie", "text"))
-    dealt = both.repartitionById(len(cuts) + 2, F.col("_part"))
+    dealt = both.repartitionById(n, F.col("_part"))
     return dealt.sortWithinPartitions("_part", "last", F.col("doc_id").desc_nulls_last(), "_tie").select("doc_id", "text", "last")
 
 
