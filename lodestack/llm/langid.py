@@ -19,6 +19,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Share of the calibration documents that rejection may cost, and the confidence that is never asked to be exceeded.
 REJECTED, CEILING = 0.0002, 0.4
+#: Subwords from which a text can be told from what no learned language writes, and the share of such texts to reject.
+ENOUGH, STRANGE = 200, 0.9
 UNKNOWN = "und"
 
 
@@ -51,13 +53,16 @@ def _letters() -> np.ndarray:
 
 @dataclass
 class Model:
-    """Languages, the product of embeddings and softmax weights, biases, temperature and least confidence."""
+    """Languages, the product of embeddings and softmax weights, biases, temperature and least confidence; of each
+    language how rare its subwords are (logarithms, by language and bucket), and what a text must be as usual as."""
 
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
     least: float = 0.0
+    usual: np.ndarray | None = None
+    floor: float = -np.inf
 
     def logits(self, hits: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(hits)
@@ -67,6 +72,11 @@ class Model:
     def probabilities(self, hits: np.ndarray) -> np.ndarray:
         return softmax(self.logits(hits) / self.temperature)
 
+    def strange(self, hits: np.ndarray, language: int) -> bool:
+        """A text long enough to tell whose subwords are rarer in its language than the floor."""
+        n = hits.sum()
+        return bool(n >= ENOUGH and float(self.usual[language] @ hits) / n < self.floor)
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
@@ -77,7 +87,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
     """A model of (language, buckets, hits) rows by stochastic gradient descent; None without rows.
 
     A fifth of the rows, by turns, is kept for calibration: the temperature that gives their labels the highest
-    likelihood, and the confidence below which only a share of REJECTED of them falls."""
+    likelihood, the confidence below which only a share of REJECTED of them falls, and how usual a text must be. For
+    that, the same rows serve as texts of no learned language: each judged by the languages that aren't its own. The
+    floor rejects a share of STRANGE of those, but never more than REJECTED of the rows judged by their own."""
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
@@ -111,6 +123,16 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
     model.temperature = float(heats[int(np.argmin(losses))])
     top = softmax(z / model.temperature).max(axis=1)
     model.least = float(min(CEILING, np.quantile(top, REJECTED, method="lower")))
+    seen = np.full((len(languages), BUCKETS), 0.5)
+    for name, at, n in train:
+        seen[index[name], at] += n
+    model.usual = np.log(seen / seen.sum(axis=1, keepdims=True)).astype(np.float32)
+    long = [(index[name], model.usual[:, at] @ n / n.sum()) for name, at, n in held if n.sum() >= ENOUGH]
+    if long and len(languages) > 1:
+        own = np.quantile([u[k] for k, u in long], REJECTED, method="lower")
+        other = np.quantile([np.delete(u, k).max() for k, u in long], STRANGE)
+        spread = float(np.std([u[k] for k, u in long]))
+        model.floor = float(min(own - 2 * spread, (own + other) / 2) if other < own else own - 2 * spread)
     return model
 
 
@@ -148,7 +170,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Only the text decides. Null texts and texts without a letter are und with score 0 and rejected. Others get the
     likeliest learned language, its calibrated probability, and rejected where that is below what calibration asks
-    for. Ties go to the first language by code point. Whole texts are read, in slices of bounded size; an empty
+    for or, from ENOUGH subwords on, where the subwords are rarer than any learned language has them. Ties go to the first language by code point. Whole texts are read, in slices of bounded size; an empty
     table gives none. Without any labelled document every text is und."""
     own = docs.drop("lang_pred", "score", "rejected")
     letters = None if model is None else model
@@ -162,9 +184,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     if not t or letters is None or not alpha[np.frombuffer(t.encode("utf-32-le"), np.uint32)].any():
                         names.append(UNKNOWN), scores.append(0.0), out.append(True)
                         continue
-                    p = letters.probabilities(subwords(t))
+                    hits = subwords(t)
+                    p = letters.probabilities(hits)
                     k = int(np.argmax(p))
-                    names.append(letters.languages[k]), scores.append(float(p[k])), out.append(bool(p[k] < letters.least))
+                    names.append(letters.languages[k]), scores.append(float(p[k])), out.append(bool(p[k] < letters.least) or letters.strange(hits, k))
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "score", "rejected"])
 
