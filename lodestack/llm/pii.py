@@ -1,13 +1,15 @@
 """Personal data: fixed patterns for four kinds, and contexts learnt from them that reveal others.
 
-What the fixed patterns find are the seeds. The one or two words before a seed are a lexical pattern. Patterns and
-what they introduce form a graph that Spark scores in rounds: a pattern by the instances it introduces, an instance
-that the fixed patterns miss by its patterns. Looser shapes behind patterns of high score become spans as well."""
+What the fixed patterns find are the seeds. The one or two words before a seed, and the one behind it, are lexical
+patterns. Patterns and what they stand at form a graph that Spark scores in rounds: a pattern by its instances, an
+instance that the fixed patterns miss by its patterns. Instances of high score are seeds of the next round, in which
+they induce patterns that no first seed had. Looser shapes at patterns of high score become spans as well."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, text_slices, tidy
 
 KINDS = ("email", "ip", "card", "phone")
-#: Different seeds that a pattern must introduce, the score at which it counts as sure, and rounds of scoring.
-SEEDS, SURE, ROUNDS = 3, 0.75, 3
+#: Different seeds that a pattern must have, the score at which it or an instance counts as sure, and rounds.
+SEEDS, SURE, ROUNDS = 3, 0.75, 4
 #: Code points before a token that may hold its context, and that may stand between.
 REACH, GAP = 60, 6
 
@@ -85,7 +87,13 @@ def joined(spans: list[list[tuple[int, int]]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, own in zip(KINDS, spans) for a, b in own)
 
 
-def contexts(text: str, start: int) -> list[str]:
+def behind(text: str, stop: int) -> list[str]:
+    """The word behind a place, in lower case and marked; none where none is near."""
+    m = WORD.search(text, stop, stop + REACH)
+    return [f"> {m[0].lower()}"] if m and m.start() - stop <= GAP and m.end() < stop + REACH else []
+
+
+def before(text: str, start: int) -> list[str]:
     """The one and the two words before a place, in lower case; none where no word is near."""
     left = text[max(0, start - REACH) : start]
     words = [(m.end(), m[0].lower()) for m in WORD.finditer(left)]
@@ -120,8 +128,18 @@ def tokens(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[str, boo
     """(kind, seed, start, end, instance) of what stands behind contexts: seeds, loose shapes, and '' for other
     tokens with a digit or @, which speak against a pattern."""
     out = [(kind, True, a, b, text[a:b]) for kind, own in zip(KINDS, spans) for a, b in own]
-    taken = sorted((a, b) for own in spans for a, b in own)
-    free = lambda a, b: not any(x < b and a < y for x, y in taken)
+    taken: list[list[int]] = []  # what spans cover, ascending and apart
+    for a, b in sorted((a, b) for own in spans for a, b in own):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    firsts = [a for a, _ in taken]
+
+    def free(a: int, b: int) -> bool:
+        i = bisect_left(firsts, b) - 1
+        return i < 0 or taken[i][1] <= a
+
     loose, other = [], []
     at = 0
     for start, kinds in starts(text):
@@ -137,11 +155,11 @@ def tokens(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[str, boo
         if best:
             loose.append((best[0], False, *best[1].span(), best[1][0]))
             at = best[1].end()
-    behind = 0  # the first loose shape that doesn't end before the token
+    i = 0  # the first loose shape that doesn't end before the token
     for hard in HARD.finditer(text):
-        while behind < len(loose) and loose[behind][3] <= hard.start():
-            behind += 1
-        if (behind == len(loose) or loose[behind][2] >= hard.end()) and free(*hard.span()):
+        while i < len(loose) and loose[i][3] <= hard.start():
+            i += 1
+        if (i == len(loose) or loose[i][2] >= hard.end()) and free(*hard.span()):
             other.append(("", False, *hard.span(), hard[0][:64]))
     loose += other
     return out + loose
@@ -165,7 +183,7 @@ def extract(docs: DataFrame) -> DataFrame:
                     spans.append(own)
                     rows = {}
                     for kind, seed, a, b, instance in tokens(text, own):
-                        for p in contexts(text, a):
+                        for p in before(text, a) + behind(text, b):
                             key = int.from_bytes(hashlib.blake2b(instance.encode(), digest_size=8).digest(), "big", signed=True)
                             if kind:
                                 rows[kind, seed, a, b, key, p] = None
@@ -182,22 +200,25 @@ def sure_patterns(found: DataFrame, work: Workspace, seeds: int = SEEDS, sure: f
     """(kind, pattern) of high-confidence patterns.
 
     Edges join patterns to different instances, so repeats and copies add nothing. A pattern's score for a kind is
-    the sum of its instances' scores over their number and one; a seed counts 1, a token of no shape 0, a loose
-    shape 1 less the product of what its patterns leave open. Only patterns with enough different seeds are kept,
-    before anything else is joined. Sums are partial before each shuffle, so a common pattern is no hot key."""
-    edges = found.select(F.explode("near").alias("n")).select("n.pattern", "n.kind", "n.seed", "n.instance").distinct()
-    strong = edges.where("seed").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= seeds).select("pattern", "seeds", F.col("kind").alias("for_kind"))
-    graph = work.table("graph", edges.join(strong, "pattern"))
-    fits = (F.col("kind") == F.col("for_kind")) & ~F.col("seed")
-    fixed = graph.where(~fits).groupBy("pattern", "for_kind").agg(F.sum((F.col("seed") & (F.col("kind") == F.col("for_kind"))).cast("double")).alias("gain"), F.count("*").alias("n"))
-    loose = graph.where(fits).select("pattern", "for_kind", "instance").distinct()
-    scores = fixed.withColumn("score", F.col("gain") / (F.col("n") + 1))
+    the sum of its instances' weights over the number of all that it stands at, tokens of no shape among them, and
+    one. A seed weighs 1, a loose shape 1 less the product of what its patterns leave open. A pattern counts once it
+    has enough sure instances: seeds in the first round, and later also what earlier rounds made sure, so instances
+    induce new patterns. Sums are partial before each shuffle, so a common pattern is no hot key."""
+    edges = work.table("edges", found.select(F.explode("near").alias("n")).select("n.pattern", "n.kind", "n.seed", "n.instance").distinct())
+    shaped = edges.where("kind <> ''")
+    able = shaped.select("pattern").distinct()
+    totals = work.table("totals", edges.join(able, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n")))
+    given = shaped.where("seed").select("pattern", "kind", "instance").distinct()
+    loose = work.table("loose", shaped.where("NOT seed").join(given.select("kind", "instance").distinct(), ["kind", "instance"], "left_anti").select("pattern", "kind", "instance"))
+    firm = given.groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("gain"), F.count("*").alias("sure"))
+    support, scores = firm, None
     for i in range(rounds):
-        scores = work.table(f"scores{i}", scores)
-        weight = loose.join(scores.select("pattern", "for_kind", "score"), ["pattern", "for_kind"]).groupBy("for_kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("weight"))
-        gained = loose.join(weight, ["for_kind", "instance"]).groupBy("pattern", "for_kind").agg(F.sum("weight").alias("more"), F.count("*").alias("m"))
-        scores = scores.drop("score").join(gained, ["pattern", "for_kind"], "left").select("pattern", "for_kind", "gain", "n", ((F.col("gain") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + F.coalesce("m", F.lit(0)) + 1)).alias("score"))
-    return work.table("sure", scores.where(F.col("score") >= sure).select("pattern", F.col("for_kind").alias("kind")))
+        known = support.groupBy("pattern", "kind").agg(F.sum("gain").alias("gain"), F.sum("sure").alias("sure")).where(F.col("sure") >= seeds)
+        scores = work.table(f"scores{i}", known.join(totals, "pattern").select("pattern", "kind", (F.col("gain") / (F.col("n") + 1)).alias("score")))
+        weights = loose.join(scores, ["pattern", "kind"]).groupBy("kind", "instance").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score")))))).alias("weight"))
+        gained = loose.join(weights, ["kind", "instance"]).groupBy("pattern", "kind").agg(F.sum("weight").alias("gain"), F.sum((F.col("weight") >= sure).cast("long")).alias("sure"))
+        support = firm.unionByName(gained)
+    return scores.where(F.col("score") >= sure).select("pattern", "kind")
 
 
 def find(docs: DataFrame, **how) -> DataFrame:
