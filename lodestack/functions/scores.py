@@ -263,3 +263,21 @@ def role_name(role) -> Column:
     return F.when(~F.contains(s, F.lit(",")) & s.rlike(core), F.regexp_replace(s, core, "$1, $2")).otherwise(s)
 
 
+
+
+def lane_fit(text) -> Column:
+    """(lane, confidence, second) of a cell `Lane (high) · +Second`; blank where it says none."""
+    shape = r"^(.+?)\s*\((high|medium|low)\)(?:\s*·\s*\+(.+))?$"
+    return F.struct(*[F.regexp_extract(col(text), shape, i).alias(n) for i, n in enumerate(("lane", "confidence", "second"), 1)])
+
+
+def refetch_status(status, unverified) -> Column:
+    """(status, counted): rows with unverified content are marked to be fetched again, and no banner counts them."""
+    bad = F.coalesce(col(unverified), F.lit(False))
+    return F.struct(F.when(bad, "⚠️ NEEDS RE-FETCH").otherwise(col(status)).alias("status"), (~bad).alias("counted"))
+
+
+def rubric_valid(score) -> Column:
+    """A whole score of 1 to 5."""
+    s = col(score)
+    return s.between(1, 5) & (s == F.floor(s))

@@ -81,7 +81,7 @@ def identity_key(c) -> Column:
 def prettify_slug(c) -> Column:
     """Dashes to blanks; words without a leading capital are capitalised, others stay."""
     words = F.filter(F.split(F.trim(F.regexp_replace(col(c), "[-_]+", " ")), r"\s+"), lambda w: w != "")
-    made = F.array_join(F.transform(words, lambda w: F.when(F.substring(w, 1, 1).rlike("[A-Z]"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000))))), " ")
+    made = F.array_join(F.transform(words, lambda w: F.when(F.substring(w, 1, 1).rlike("[A-Z]"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, F.lit(2), F.length(w)))))), " ")
     return F.when(made == "", col(c)).otherwise(made)
 
 

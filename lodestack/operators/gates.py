@@ -86,10 +86,10 @@ def ledger_of_bases(index: DataFrame) -> DataFrame:
 
 def question_classes(questions: DataFrame, manifest: DataFrame) -> DataFrame:
     """questions (file, label) with their class from the manifest (file, label, class), else by their wording."""
-    from ..functions.questions import THOUGHTFUL, standard
+    from ..functions.questions import standard, thoughtful
 
     known = manifest.select(F.col("file").alias("_f"), F.lower(strip("label")).alias("_l"), F.col("class").alias("_c")).dropDuplicates(["_f", "_l"])
     joined = questions.join(known, (F.col("file") == F.col("_f")) & (F.lower(strip("label")) == F.col("_l")), "left")
     q = F.struct(F.col("label"), F.lit("").alias("type"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("options"))
-    by_words = F.when(standard(q), "standard").when(has("label", "(?i)" + THOUGHTFUL), "substantive").otherwise("logistical")
+    by_words = F.when(standard(q), "standard").when(thoughtful("label"), "substantive").otherwise("logistical")
     return joined.select("file", "label", F.coalesce("_c", by_words).alias("class"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(rows: DataFrame) -> DataFrame:
-    """rows as a table in the session's shared checkpoint folder; a folder of our own only where none is set."""
+    """rows as a table in the session's shared checkpoint folder; without one, only a local master gets a folder."""
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/lodestack-checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or f"{tempfile.gettempdir()}/lodestack-checkpoints")
     return rows.checkpoint()
 
 
@@ -30,4 +34,4 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame
         offsets += [F.lit(p), F.lit(total)]
         total += sizes[p]
     before = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0)
-    return placed.withColumn(name, (before + F.col("_at") + 1).cast("int")).drop("_part", "_at")
+    return placed.withColumn(name, (before + F.col("_at") + 1).cast("long")).drop("_part", "_at")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import artifacts
-from .registry import query, read, values
+from .registry import case, query, read, values
 
 COMPANIES = [
     ("Teladoc Health, Inc.", "At Teladoc Health we care. Teladoc Health grows.", "Teladoc Health"), ("Chambercardio", "Chamber is here. Join Chamber today.", "Chamber"), ("Tryprofound", "Profound leads. We at Profound.", "Profound"),
@@ -16,7 +16,7 @@ COMPANIES = [
 BRANDS = [("betterup", "BetterUp helps. At BetterUp we", "BetterUp"), ("acme", "Acme is Acme", None), ("openai", "we at OpenAI", "OpenAI"), ("Two Words", "TwoWords", None), ("listenhq", "Listen and ListenHQ and ListenHQ", "ListenHQ"), ("iheartmedia", "iHeartMedia", "iHeartMedia"), ("shout", "SHOUT", None), ("x", None, None)]
 
 
-@query(values([(i, c[2], b[2]) for i, (c, b) in enumerate(zip(COMPANIES, BRANDS))], "pos, shown, brand"))
+@case(values([(i, c[2], b[2]) for i, (c, b) in enumerate(zip(COMPANIES, BRANDS))], "pos, shown, brand"))
 def company_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ08, PRJ09: companies as their postings write them."""
     rows = spark.sql(f"SELECT * FROM {values([(i, c[0], c[1], b[0], b[1]) for i, (c, b) in enumerate(zip(COMPANIES, BRANDS))], 'pos, c, body, t, said')}")
@@ -30,7 +30,7 @@ BASES = [
 LINKED = [("PM, Growth | https://a.com/x", "PM, Growth", "https://a.com/x"), ("PM only", "PM only", None), ("A | B | http://c.d", "A | B", "http://c.d"), ("https://only.link", "https://only.link", "https://only.link"), ("", "", None), (None, "", None)]
 
 
-@query(values([(i, b[1], t[1], t[2]) for i, (b, t) in enumerate(zip(BASES, LINKED))], "pos, base, title, url"))
+@case(values([(i, b[1], t[1], t[2]) for i, (b, t) in enumerate(zip(BASES, LINKED))], "pos, base, title, url"))
 def tracker_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ13, PRJ14: bases in short, and cells of title and link."""
     rows = spark.sql(f"SELECT * FROM {values([(i, b[0], t[0]) for i, (b, t) in enumerate(zip(BASES, LINKED))], 'pos, b, t')}")
@@ -47,7 +47,7 @@ SHOWN = [
 ]
 
 
-@query(values([(i, b[1], s[1]) for i, (b, s) in enumerate(zip(BANDS, SHOWN))], "pos, bands, places"))
+@case(values([(i, b[1], s[1]) for i, (b, s) in enumerate(zip(BANDS, SHOWN))], "pos, bands, places"))
 def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN17, FN22: bands of pay and lists of places as people read them."""
     rows = spark.sql(f"SELECT * FROM {values([(i, b[0], s[0]) for i, (b, s) in enumerate(zip(BANDS, SHOWN))], 'pos, b, s')}")
@@ -57,7 +57,7 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 WISHES = [("We have a strong preference for someone based in San Francisco or New York City. More.", "Strong preference for someone based in SF or NYC."), ("Must live in Austin", None), ("", None)]
 
 
-@query(values([(i, b) for i, (_, b) in enumerate(WISHES)], "pos, said"))
+@case(values([(i, b) for i, (_, b) in enumerate(WISHES)], "pos, said"))
 def location_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN23: a preference of place that a text states."""
     return spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _) in enumerate(WISHES)], 'pos, t')}").select("pos", names.preference("t").alias("said"))
@@ -66,7 +66,7 @@ def location_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTED = [("https://acme.com/careers/jobs?gh_jid=123", "123", True), ("https://acme.com/jobs/123?gh_jid=123", "123", False), ("https://acme.com/about?gh_jid=123", "123", False), ("", "123", False)]
 
 
-@query(values([(i, r[2]) for i, r in enumerate(LISTED)], "pos, listing"))
+@case(values([(i, r[2]) for i, r in enumerate(LISTED)], "pos, listing"))
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT07: application addresses that only list postings."""
     return spark.sql(f"SELECT * FROM {values([(i, *r[:2]) for i, r in enumerate(LISTED)], 'pos, u, n')}").select("pos", artifacts.listing_page("u", "n").alias("listing"))
@@ -75,25 +75,17 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHANGED = [("docs/changelog.md",), ("scripts/doc_synthesis_core.py",), ("requirements.txt",), ("src/a.py",)]
 
 
-@query(values([("src/a.py",)], "path"))
+@case(values([("src/a.py",)], "path"))
 def meaningful_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT10: changed files without self-maintenance."""
     return artifacts.meaningful_changes(spark.sql(f"SELECT * FROM {values(CHANGED, 'path')}"))
 
 
-@query("""
-SELECT o_custkey, count(DISTINCT o_orderstatus)::BIGINT AS formats FROM orders WHERE o_custkey % 50 = 1 GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1
-""")
-def duplicate_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG14: customers as folders that hold one artifact in several formats, a status being a format."""
-    o = read(spark, sf_dir, "orders").where("o_custkey % 50 = 1").select(F.col("o_custkey").alias("folder"), F.concat(F.lit("My Resume."), F.lower("o_orderstatus")).alias("path"))
-    return artifacts.duplicate_artifacts(o).select(F.col("folder").alias("o_custkey"), F.col("n").alias("formats"))
-
 
 MOVES = [("f", "a.txt"), ("f", "b.md"), ("g", "a.txt"), ("g", "out/a.txt"), ("h", "b.md")]
 
 
-@query(values([("f", "a.txt", "out/a.txt", "move"), ("f", "b.md", None, "keep"), ("g", "a.txt", "out/a.txt", "skip"), ("g", "out/a.txt", None, "skip"), ("h", "b.md", None, "keep")], "folder, path, target, action"))
+@case(values([("f", "a.txt", "out/a.txt", "move"), ("f", "b.md", None, "keep"), ("g", "a.txt", "out/a.txt", "skip"), ("g", "out/a.txt", None, "skip"), ("h", "b.md", None, "keep")], "folder, path, target, action"))
 def migration_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK13: moves of folders, none of one with a conflict."""
     target = F.when(F.col("path").rlike(r"^[^/]*\.txt$"), F.concat(F.lit("out/"), "path"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import text as T
 from ..operators import captures, identity
-from .registry import query, read, values
+from .registry import case, query, read, values
 
 TRACKED = ", ".join(f"'{t}'" for t in vocab.TRACKING)
 #: Markers that occur in the documents: their licence lines, addresses and passages.
@@ -140,7 +140,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT doc_id, lower(string_split(text, chr(10))[1]) AS line, source FROM documents),
 g AS (SELECT line, source, min(doc_id) AS first_id, count(*) AS n FROM d GROUP BY ALL HAVING count(*) > 1),
 r AS (SELECT *, row_number() OVER (ORDER BY first_id) AS duplicate_group FROM g)
-SELECT doc_id, coalesce(duplicate_group, 0)::INTEGER AS duplicate_group FROM d LEFT JOIN r ON d.line IS NOT DISTINCT FROM r.line AND d.source IS NOT DISTINCT FROM r.source
+SELECT doc_id, coalesce(duplicate_group, 0)::BIGINT AS duplicate_group FROM d LEFT JOIN r ON d.line IS NOT DISTINCT FROM r.line AND d.source IS NOT DISTINCT FROM r.source
 """)
 def soft_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG02: documents of one source with the same first line, groups numbered by first appearance, 0 for none."""
@@ -175,7 +175,7 @@ ATTEMPTS = values(
 )
 
 
-@query(values([("a", 3, "usable", 1), ("b", 1, "usable", 1), ("c", 2, "thin", 2), ("d", 1, "usable", 0)], "k, attempt, status, missing"))
+@case(values([("a", 3, "usable", 1), ("b", 1, "usable", 1), ("c", 2, "thin", 2), ("d", 1, "usable", 0)], "k, attempt, status, missing"))
 def attempt_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN03: which attempt wins, as a fold."""
     return captures.fold_attempts(spark.sql(f"SELECT * FROM {ATTEMPTS}"), "k")
@@ -195,7 +195,7 @@ KEYS = [
 ADAPTERS = ["ashby", "greenhouse", "greenhouse", None, None, "lever", "linkedin", None, "workable"]
 
 
-@query(values([(i, k, a) for (i, _), k, a in zip(URLS, KEYS, ADAPTERS)], "pos, capture_key, adapter"))
+@case(values([(i, k, a) for (i, _), k, a in zip(URLS, KEYS, ADAPTERS)], "pos, capture_key, adapter"))
 def capture_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ01, PRJ03, SRC02: keys and adapters of addresses."""
     return spark.sql(f"SELECT * FROM {values(URLS, 'pos, url')}").select("pos", identity.capture_key("url").alias("capture_key"), identity.route("url").alias("adapter"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import miners, scores
 from ..functions import text as T
 from ..operators import gates, review, tracker
-from .registry import query, read, values
+from .registry import case, query, read, values
 
 GOOD = "\n".join(f"{label}: x" for label in gates.CAPTURE_LABELS)
 BODY = "About the role. " + "Responsibilities and more words here. " * 25
@@ -19,7 +19,7 @@ CAPTURES = [
 ]
 
 
-@query(values([(f, p) for f, _, p in CAPTURES], "filename, problems"))
+@case(values([(f, p) for f, _, p in CAPTURES], "filename, problems"))
 def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN33: contracts that captures break."""
     rows = spark.sql(f"SELECT * FROM {values([(f, t) for f, t, _ in CAPTURES], 'filename, text')}")
@@ -29,7 +29,7 @@ def capture_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 OUTPUTS = [("a", "# One\nx\n## Two\ny\n# Skills\n" + ", ".join(f"s{i}" for i in range(13))), ("b", "# Two\n# One\n# Skills\na, b"), ("c", "nothing")]
 
 
-@query(values([("b", "out of order two"), ("b", "too few skills"), ("c", "missing one"), ("c", "missing two"), ("c", "missing skills")], "k, problem"))
+@case(values([("b", "out of order two"), ("b", "too few skills"), ("c", "missing one"), ("c", "missing two"), ("c", "missing skills")], "k, problem"))
 def output_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN35: headings and skills of Markdown outputs."""
     return gates.output_problems(spark.sql(f"SELECT * FROM {values(OUTPUTS, 'k, text')}"), ["One", "Two", "Skills"], "k")
@@ -38,7 +38,7 @@ def output_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANCHORS = [("a", "direct", 75, "68-81", "pass"), ("b", "light", 75, "68-81", "reasoning_mismatch"), ("c", "direct", 81, "68-81", "range_violation"), ("d", "direct", 67, "68-81", "pass")]
 
 
-@query(values([(r[0], r[4]) for r in ANCHORS], "job_key, status"))
+@case(values([(r[0], r[4]) for r in ANCHORS], "job_key, status"))
 def anchor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN32, JOIN09: results against what calibration expects; an anchor without a result is ignored."""
     rows = spark.sql(f"SELECT * FROM {values([r[:4] for r in ANCHORS], 'job_key, grade, score, want')}")
@@ -67,7 +67,7 @@ def batch_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASKED = [("a", "Why us?", "logistical"), ("a", "Describe a win", "substantive"), ("b", "Email", "standard"), ("b", "Notice period", "logistical")]
 
 
-@query(values(ASKED, "file, label, class"))
+@case(values(ASKED, "file, label, class"))
 def manifest_question_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JOIN08: classes from the manifest, else by wording."""
     rows = spark.sql(f"SELECT * FROM {values([a[:2] for a in ASKED], 'file, label')}")
@@ -77,7 +77,7 @@ def manifest_question_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 TITLES = [("Meta Careers", True), ("Careers at Acme", True), ("Jobs search results", True), ("PM, Careers Platform Experience", False), ("job details", True), ("Staff Engineer", False), ("", True)]
 
 
-@query(values([(i, b) for i, (_, b) in enumerate(TITLES)], "pos, branding"))
+@case(values([(i, b) for i, (_, b) in enumerate(TITLES)], "pos, branding"))
 def branding_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT06: titles that name a site and no role."""
     generic, nav = ["job details", "open positions", "job search"], ["job", "jobs", "search", "results", "careers", "open", "roles", "view", "all"]
@@ -139,7 +139,7 @@ def targeted_update(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRACKED = [("apply asap high prio", "Work Tools", "New York hybrid", "$120K-$150K", ""), ("Down: Ruled Out", "Health - x", "Remote", "120-150", "2026-01-01")]
 
 
-@query(values([("Apply ASAP: High Prio", "Work", "IRL NYC - unknown days", "120-150", "Unknown", 5), ("Down: Ruled Out", "Health - x", "Remote", "120-150", "2026-01-01", 0)], "status, lane, place, pay, day, repaired"))
+@case(values([("Apply ASAP: High Prio", "Work", "IRL NYC - unknown days", "120-150", "Unknown", 5), ("Down: Ruled Out", "Health - x", "Remote", "120-150", "2026-01-01", 0)], "status, lane, place, pay, day, repaired"))
 def tracker_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK06: governed cells repaired, and how many changed."""
     names = ["Status? [You Change]", "Lane", "Working Location", "Comp Range", "Posting Last Update"]
@@ -150,19 +150,17 @@ def tracker_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 FITS = [("Primary (high)", "Primary", "high", ""), ("Growth PM (medium) · +Platform", "Growth PM", "medium", "Platform"), ("Outside lanes (low)", "Outside lanes", "low", "")]
 
 
-@query(values([(i, *f[1:]) for i, f in enumerate(FITS)], "pos, lane, confidence, second"))
+@case(values([(i, *f[1:]) for i, f in enumerate(FITS)], "pos, lane, confidence, second"))
 def lane_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SPC05: the grammar of lane fits."""
-    shape = r"^(.+?)\s*\((high|medium|low)\)(?:\s*·\s*\+(.+))?$"
     rows = spark.sql(f"SELECT * FROM {values([(i, f[0]) for i, f in enumerate(FITS)], 'pos, t')}")
-    return rows.select("pos", *[F.regexp_extract("t", shape, i).alias(n) for i, n in enumerate(("lane", "confidence", "second"), 1)])
+    return rows.select("pos", *[scores.lane_fit("t")[n].alias(n) for n in ("lane", "confidence", "second")])
 
 
 @query("SELECT l_orderkey, l_linenumber, (l_quantity BETWEEN 1 AND 5 AND l_quantity = floor(l_quantity)) AS valid FROM lineitem")
 def rubric_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SPC10: whole scores of 1 to 5."""
-    q = F.col("l_quantity")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (q.between(1, 5) & (q == F.floor(q))).alias("valid"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scores.rubric_valid("l_quantity").alias("valid"))
 
 
 @query("""

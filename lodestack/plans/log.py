@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import log
-from .registry import query, read, values
+from .registry import case, query, read, values
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def canonical_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.canonical_keys(o, F.col("o_orderstatus")).select(F.col("key").cast("long").alias("key"), "canonical", "conflict")
 
 
-@query(values([("a", "pay: 100 in NYC", True, "2026-01-02"), ("b", "duties, pay: 5", False, "2026-03-01")], "k, body, kept_old_body, posted_date"))
+@case(values([("a", "pay: 100 in NYC", True, "2026-01-02"), ("b", "duties, pay: 5", False, "2026-03-01")], "k, body, kept_old_body, posted_date"))
 def best_verified_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR05: a body that lost its pay doesn't replace one that has it; lost dates stay."""
     from ..operators.captures import best_verified

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import letters, miners
-from .registry import query, values
+from .registry import case, values
 
 PAY = [
     ("The salary range for this role is $197,300.", "$197,300"), ("raised $50,000,000", ""), ("Base pay: 150,000 - 180,000 annually. NYC: $170K–$200K", "150,000 - 180,000 | $170K–$200K"),
@@ -14,7 +14,7 @@ PAY = [
 ]
 
 
-@query(values([(i, b) for i, (_, b) in enumerate(PAY)], "pos, figures"))
+@case(values([(i, b) for i, (_, b) in enumerate(PAY)], "pos, figures"))
 def prose_pay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN12: pay in prose."""
     rows = spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _) in enumerate(PAY)], 'pos, t')}")
@@ -28,7 +28,7 @@ PLACES = [
 PLACES = [(a.replace("Location: Google Cloud\nAustin, TX", "Location: Austin, TX (Google Cloud)"), b) for a, b in PLACES]
 
 
-@query(values([(i, b) for i, (_, b) in enumerate(PLACES)], "pos, place"))
+@case(values([(i, b) for i, (_, b) in enumerate(PLACES)], "pos, place"))
 def prose_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN13, FLT11, SRT05: places in prose."""
     return spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _) in enumerate(PLACES)], 'pos, t')}").select("pos", miners.prose_location("t").alias("place"))
@@ -40,7 +40,7 @@ WORKED = [
 ]
 
 
-@query(values([(i, w[2], w[4]) for i, w in enumerate(WORKED)], "pos, employment, cadence"))
+@case(values([(i, w[2], w[4]) for i, w in enumerate(WORKED)], "pos, employment, cadence"))
 def employment_and_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN20, FN21: employment types and cadences in readable form."""
     rows = spark.sql(f"SELECT * FROM {values([(i, w[0], w[1], w[3]) for i, w in enumerate(WORKED)], 'pos, s, b, c')}")
@@ -54,7 +54,7 @@ CAPTURED = [
 ]
 
 
-@query(values([(r[0], r[6], r[7]) for r in CAPTURED], "k, pay, place"))
+@case(values([(r[0], r[6], r[7]) for r in CAPTURED], "k, pay, place"))
 def capture_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT05: whether pay and place of captures are found, not posted, failed or conflicting."""
     rows = spark.sql(f"SELECT * FROM {values([r[:6] for r in CAPTURED], 'k, structured, title, pay, place, body')}").withColumn("figures", miners.prose_pay("body"))
@@ -66,7 +66,7 @@ def capture_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 NAMES = [("greenhouse-boards-api", "Greenhouse"), ("workday-cxs-api (embedded)", "Workday (Embedded)"), ("", "Employer Page"), ("linkedin-guest-api", "linkedin-guest-api"), ("linkedin-guest", "LinkedIn (Guest)")]
 
 
-@query(values([(i, b) for i, (_, b) in enumerate(NAMES)], "pos, shown"))
+@case(values([(i, b) for i, (_, b) in enumerate(NAMES)], "pos, shown"))
 def source_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN24: sources by the names that people know."""
     return spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _) in enumerate(NAMES)], 'pos, t')}").select("pos", miners.source_name("t").alias("shown"))
@@ -78,7 +78,7 @@ LETTERS = [
 ]
 
 
-@query(values([(i, b) for i, (_, b, _) in enumerate(LETTERS)], "pos, findings"))
+@case(values([(i, b) for i, (_, b, _) in enumerate(LETTERS)], "pos, findings"))
 def letter_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN34, SET06: what letters break, and what their revision lost."""
     rows = spark.sql(f"SELECT * FROM {values([(i, a, c) for i, (a, _, c) in enumerate(LETTERS)], 'pos, t, old')}")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, pay, places, questions, scores
 from ..functions import text as T
 from ..operators import identity
-from .registry import query, read, values
+from .registry import case, query, read, values
 
 PLACE = {"home_metro": "New York City", "home_metro_aliases": ["NYC", "New York", "New York City", "Manhattan", "Brooklyn"], "city_priority": ["NYC", "SF"]}
 LOCATIONS = [
@@ -20,7 +20,7 @@ LOCATIONS = [
 ]
 
 
-@query(values([(i, b, c) for i, (_, b, c) in enumerate(LOCATIONS)], "pos, location, color"))
+@case(values([(i, b, c) for i, (_, b, c) in enumerate(LOCATIONS)], "pos, location, color"))
 def working_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN01, FN02, FN03, SRT04: location texts in the grammar, and their colours."""
     rows = spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _, _) in enumerate(LOCATIONS)], 'pos, t')}").withColumn("location", places.normalize_location("t", PLACE))
@@ -30,7 +30,7 @@ def working_location(spark: SparkSession, sf_dir: str) -> DataFrame:
 RANGES = [("$125K–$250K", "125-250", "Near target"), ("125,000 - 250,000", "125-250", "Near target"), ("180", "180-180", "Near target"), ("150k to 190k", "150-190", "Near target"), ("??", "??", "Unknown"), ("$250K-$210K", "210-250", "Meets/above target"), ("a to b", "??", "Unknown"), ("120K-170K", "120-170", "Below floor"), (None, "??", "Unknown"), ("182.5K", "182-182", "Near target"), ("240-333", "240-333", "Top of market")]
 
 
-@query(values([(i, b, c) for i, (_, b, c) in enumerate(RANGES)], "pos, pay, fit"))
+@case(values([(i, b, c) for i, (_, b, c) in enumerate(RANGES)], "pos, pay, fit"))
 def comp_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN04, FN05: pay as ranges, and how they stand to floor 180, target 200 and top 300."""
     rows = spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _, _) in enumerate(RANGES)], 'pos, t')}").withColumn("pay", pay.normalize_range("t"))
@@ -55,7 +55,7 @@ ENVELOPES = [
 ]
 
 
-@query(values([(i, b) for i, (_, b) in enumerate(ENVELOPES)], "pos, span"))
+@case(values([(i, b) for i, (_, b) in enumerate(ENVELOPES)], "pos, span"))
 def comp_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG03, AGG04: the span of all annual bands of a text."""
     return spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _) in enumerate(ENVELOPES)], 'pos, t')}").select("pos", pay.envelope("t").alias("span"))
@@ -66,16 +66,17 @@ WITH b AS (SELECT o_custkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi FR
 SELECT o_custkey, round(round(lo, 0)::DECIMAL(18, 6) / 1000, 0)::BIGINT || '-' || round(round(hi, 0)::DECIMAL(18, 6) / 1000, 0)::BIGINT AS span FROM b
 """)
 def order_price_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG03: the span of each customer's order prices, written as bands and read again."""
-    whole = F.format_number(F.round("o_totalprice", 0), 0)
-    o = read(spark, sf_dir, "orders").where("o_totalprice BETWEEN 10000 AND 2000000").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("$"), whole, F.lit(" - $"), whole))), " · ").alias("t"))
+    """AGG03: the span of each customer's order prices, its two ends written as a band and read again."""
+    whole = lambda c: F.format_number(F.round(c, 0), 0)
+    o = read(spark, sf_dir, "orders").where("o_totalprice BETWEEN 10000 AND 2000000").groupBy("o_custkey").agg(F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
+    o = o.withColumn("t", F.concat(F.lit("$"), whole("lo"), F.lit(" - $"), whole("hi")))
     return o.select("o_custkey", pay.envelope("t").alias("span"))
 
 
 DATES = [("2026-06-13T09:05:32-04:00", "2026-06-13"), ("1782932070272", "2026-07-01"), ("Posted 30 Days Ago", None), ("", None), ("2026-02-30", None), ("1782932070", "2026-07-01"), (None, None)]
 
 
-@query(values([(i, b) for i, (_, b) in enumerate(DATES)], "pos, day"))
+@case(values([(i, b) for i, (_, b) in enumerate(DATES)], "pos, day"))
 def posting_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN09: plain dates of what systems write."""
     return spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _) in enumerate(DATES)], 'pos, t')}").select("pos", dates.posting_date("t").alias("day"))
@@ -107,7 +108,7 @@ LANES = [("Work Tools - Collaboration", "Work - Collaboration"), ("Work Tools",
 STATES = [("apply asap high prio", "Apply ASAP: High Prio"), ("DOWN: ruled out", "Down: Ruled Out"), ("my own", "my own"), ("", ""), ("currently in talks", "**Currently In Talks**"), ("Apply Again", "Apply Again??")]
 
 
-@query(values([(i, r[1], n[1], s[1]) for i, (r, n, s) in enumerate(zip(ROLES, LANES, STATES))], "pos, role, lane, state"))
+@case(values([(i, r[1], n[1], s[1]) for i, (r, n, s) in enumerate(zip(ROLES, LANES, STATES))], "pos, role, lane, state"))
 def tracker_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ11, FN06, FN07: roles, lanes and states in their canonical form."""
     rows = spark.sql(f"SELECT * FROM {values([(i, r[0], n[0], s[0]) for i, (r, n, s) in enumerate(zip(ROLES, LANES, STATES))], 'pos, r, n, s')}")
@@ -121,7 +122,7 @@ ASKED = [
 ]
 
 
-@query(values([(i, a[3], a[4]) for i, a in enumerate(ASKED)], "pos, question_class, kept"))
+@case(values([(i, a[3], a[4]) for i, a in enumerate(ASKED)], "pos, question_class, kept"))
 def question_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FLT02, FLT03: classes of questions and which are kept."""
     rows = spark.sql(f"SELECT * FROM {values([(i, *a[:3]) for i, a in enumerate(ASKED)], 'pos, label, kind, name')}")
@@ -132,7 +133,7 @@ def question_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISAGREE = [("San Francisco, CA; Remote, US", "Bay Area, CA", False, "USD 236,000–296,000", "$110,000 - $130,000", True), ("New York, NY", "Brooklyn, NY", False, "$150K", "", False), ("Austin, TX; New York, NY", "Denver, CO", True, "$200K - $300K", "$213,000 - $296,000", False), ("", "Denver, CO", False, "", "$90K", False)]
 
 
-@query(values([(i, r[2], r[5]) for i, r in enumerate(DISAGREE)], "pos, places_differ, pay_differs"))
+@case(values([(i, r[2], r[5]) for i, r in enumerate(DISAGREE)], "pos, places_differ, pay_differs"))
 def source_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SET04, SET05: whether a field and the prose name other metros or other pay."""
     rows = spark.sql(f"SELECT * FROM {values([(i, r[0], r[1], r[3], r[4]) for i, r in enumerate(DISAGREE)], 'pos, a, b, c, d')}")
@@ -142,7 +143,7 @@ def source_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 WRITTEN = [("“Hello”", "Hello", "careers at airbnb", "Airbnb", "PM - Careers at Acme", "PM"), (' "x" ', "x", "Acme Careers", "Acme", "Data Lead | Beta Jobs", "Data Lead"), ("plain", "plain", "Plain Co", "Plain Co", "Engineer - Platform", "Engineer - Platform")]
 
 
-@query(values([(i, r[1], r[3], r[5]) for i, r in enumerate(WRITTEN)], "pos, bare, company, title"))
+@case(values([(i, r[1], r[3], r[5]) for i, r in enumerate(WRITTEN)], "pos, bare, company, title"))
 def name_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ05, FN16: quotes, wrappers of companies and branding of titles."""
     rows = spark.sql(f"SELECT * FROM {values([(i, r[0], r[2], r[4]) for i, r in enumerate(WRITTEN)], 'pos, q, c, t')}")

@@ -23,6 +23,19 @@ def query(sql: str | None = None):
     return add
 
 
+CASES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def case(sql: str):
+    """Keeps a function over rows that someone wrote down, with what it must give: no query, but a test's vectors."""
+
+    def add(f):
+        CASES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,4 +54,4 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(SELECT * FROM (VALUES {body}) AS t({columns}))"
 
 
-from . import artifacts, captures, gates, log, matching, mining, normalizers, scoring, sources, whole, writing  # noqa: E402,F401  they register themselves
+from . import artifacts, captures, gates, log, matching, mining, normalizers, scoring, sources, tables, whole, writing  # noqa: E402,F401  they register themselves

@@ -7,28 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import review, tracker
-from .registry import query, read, values
+from .registry import case, query, read, values
 
 BLOCKS = [("", "", "", "", ""), ("70", "80", "", "", "half-written"), ("82", "85", "3", "why", "base not a multiple of 5; delta not a multiple of 5"), ("80", "75", "-5", "why", "improved below base; delta negative"), ("70", "80", "5", "why", "delta is not improved - base"), ("70", "80", "10", "", "reason missing"), ("70", "80", "10", "why", ""), ("x", "80", "10", "why", "base is not a whole number")]
 
 
-@query(values([(i, b[4]) for i, b in enumerate(BLOCKS)], "pos, errors"))
+@case(values([(i, b[4]) for i, b in enumerate(BLOCKS)], "pos, errors"))
 def resume_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN28: what is wrong with a block of scores."""
     rows = spark.sql(f"SELECT * FROM {values([(i, *b[:4]) for i, b in enumerate(BLOCKS)], 'pos, a, b, c, d')}")
     return rows.select("pos", F.array_join(scores.comparison_errors("a", "b", "c", "d"), "; ").alias("errors"))
 
 
-@query("""
-SELECT l_suppkey AS grp, max(s) - min(s) AS spread, count(DISTINCT b)::BIGINT AS bands, max(b) - min(b) AS crossings, count(DISTINCT l_returnflag)::BIGINT AS grades,
-       CASE WHEN count(s) < 2 OR count(DISTINCT l_returnflag) > 1 OR max(b) - min(b) > 1 THEN 'fail' WHEN max(s) - min(s) <= 5 AND max(b) = min(b) THEN 'pass' ELSE 'placement' END AS status
-FROM (SELECT l_suppkey, l_returnflag, l_linenumber * 2 + 60 AS s, CASE WHEN l_linenumber * 2 + 60 >= 68 THEN 3 ELSE 2 END AS b FROM lineitem WHERE l_partkey % 40 = 0) GROUP BY l_suppkey
-""")
-def duplicate_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG10: whether repeated scorings of a supplier's items agree."""
-    rows = read(spark, sf_dir, "lineitem").where("l_partkey % 40 = 0").select(F.col("l_suppkey").alias("grp"), (F.col("l_linenumber") * 2 + 60).alias("score"), F.col("l_returnflag").alias("grade"))
-    return review.duplicate_control(rows, "grp", "score", "grade")
-
 
 @query("""
 WITH a AS (SELECT doc_id, sha256(text) AS p, sha256(source) AS c FROM documents), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS p, sha256(CASE WHEN doc_id % 7 = 0 THEN 'y' ELSE source END) AS c FROM documents WHERE doc_id % 11 <> 0)
@@ -71,7 +61,7 @@ LEDGERS = [
 ]
 
 
-@query(values([(r[0], r[5], r[6]) for r in LEDGERS], "k, flags, decision"))
+@case(values([(r[0], r[5], r[6]) for r in LEDGERS], "k, flags, decision"))
 def ledger_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN29, FN30, AGG12: flags of ledgers and what a second pass (direct, 73, no compounding) decides."""
     rows = spark.sql(f"SELECT * FROM {values([r[:5] for r in LEDGERS], 'k, grade, score, band, comp')}")
@@ -96,7 +86,7 @@ def initial_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMPLETE = [("120-180", "Remote", "✓ complete"), ("??", "Unknown", "⚠ comp+location not verified"), ("", "Remote", "⚠ comp not verified"), ("120-180", "", "⚠ location unknown")]
 
 
-@query(values([(i, c[2]) for i, c in enumerate(COMPLETE)], "pos, label"))
+@case(values([(i, c[2]) for i, c in enumerate(COMPLETE)], "pos, label"))
 def completeness_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN08: completeness by a row's own cells."""
     return spark.sql(f"SELECT * FROM {values([(i, *c[:2]) for i, c in enumerate(COMPLETE)], 'pos, a, b')}").select("pos", scores.fallback_completeness("a", "b").alias("label"))

@@ -7,11 +7,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, miners, names, questions
+from ..functions import dates, miners, names, questions, scores
 from ..functions import text as T
 from ..operators import artifacts, captures, gates, identity
 from ..sources import files, payloads, writers
-from .registry import query, read, values
+from .registry import case, query, read, values
 
 UUID = "0b9e1c2d-1111-2222-3333-444455556666"
 BODIES = [
@@ -24,7 +24,7 @@ BODIES = [
 ]
 
 
-@query(values([(u, *e) for u, _, e in BODIES], "url, source, title, company, location, posted_date"))
+@case(values([(u, *e) for u, _, e in BODIES], "url, source, title, company, location, posted_date"))
 def payload_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC02, SRC03, SRC05, SRC07, SRC09, SRC10, SRC11, SRC12: postings of six systems as one table."""
     rows = spark.sql(f"SELECT * FROM {values([(u, json.dumps(b)) for u, b, _ in BODIES], 'url, body')}")
@@ -35,7 +35,7 @@ LD = {"@type": "JobPosting", "title": "t1", "jobLocation": {"address": {"address
 PAGES = [("u", f'<title>T | x</title><meta property="og:title" content="OG"><script type="application/ld+json">{json.dumps(LD)}</script><p>b</p>'), ("v", "<h1>Head</h1>")]
 
 
-@query(values([("u", "OG", "t1", "Org", "Austin, TX"), ("v", "Head", None, None, None)], "url, page_title, title, company, location"))
+@case(values([("u", "OG", "t1", "Org", "Austin, TX"), ("v", "Head", None, None, None)], "url, page_title, title, company, location"))
 def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC13, SRC14, PRJ07: titles of pages, and the postings that they declare."""
     pages = spark.sql(f"SELECT * FROM {values(PAGES, 'url, html')}")
@@ -46,23 +46,13 @@ def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 CARD = '<h2 class="top-card-layout__title x">PM</h2><a class="topcard__org-name-link" href="#">Acme</a><span class="topcard__flavor topcard__flavor--bullet">NYC</span><time datetime="2026-07-07">now</time><div class="show-more-less-html__markup"><p>Salary: $150,000 - $170,000</p></div>'
 
 
-@query(values([("https://www.linkedin.com/jobs/view/pm-4012345678", "4012345678", "PM", "Acme", "NYC", "Salary: $150,000 - $170,000", "2026-07-07")], "url, posting_id, title, company, location, compensation, posted_date"))
+@case(values([("https://www.linkedin.com/jobs/view/pm-4012345678", "4012345678", "PM", "Acme", "NYC", "Salary: $150,000 - $170,000", "2026-07-07")], "url, posting_id, title, company, location, compensation, posted_date"))
 def linkedin_fragment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC06: a guest fragment."""
     rows = spark.sql(f"SELECT * FROM {values([('https://www.linkedin.com/jobs/view/pm-4012345678', CARD)], 'url, html')}")
     return payloads.linkedin(rows).select("url", "posting_id", "title", "company", "location", "compensation", "posted_date")
 
 
-@query("""
-SELECT o_orderkey AS url, 'b' || min(l_linenumber) AS board FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber IN (2, 4) AND o_orderkey % 7 = 0 GROUP BY o_orderkey
-""")
-def first_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC04, SRC08: the first candidate board that holds a posting; orders are postings, lines boards."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
-    c = o.select(F.col("o_orderkey").alias("url"), F.array(F.lit("b2"), F.lit("b4")).alias("boards"), F.col("o_orderkey").alias("posting_id"))
-    b = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("b"), F.col("l_linenumber").cast("string")).alias("board"), F.col("l_orderkey").alias("posting_id"))
-    return payloads.first_board(c, b)
-
 
 @query("""
 WITH p AS (SELECT source AS url, CASE WHEN doc_id % 3 = 0 THEN 'body' ELSE 's' || doc_id END AS selector, text, length(text) - CASE WHEN doc_id % 3 = 0 THEN 500 ELSE 0 END AS size FROM documents)
@@ -84,7 +74,7 @@ def engine_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 APPLY = [("https://jobs.ashbyhq.com/acme/x?src=1", "https://jobs.ashbyhq.com/acme/x/application"), ("https://jobs.lever.co/a/x/apply", "https://jobs.lever.co/a/x/apply"), ("https://apply.workable.com/f/j/A", "https://apply.workable.com/f/j/A/apply/"), ("https://plain.org", None)]
 
 
-@query(values([(i, b) for i, (_, b) in enumerate(APPLY)], "pos, apply_url"))
+@case(values([(i, b) for i, (_, b) in enumerate(APPLY)], "pos, apply_url"))
 def apply_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC16: where to apply."""
     return spark.sql(f"SELECT * FROM {values([(i, a) for i, (a, _) in enumerate(APPLY)], 'pos, u')}").select("pos", identity.apply_url("u").alias("apply_url"))
@@ -103,7 +93,7 @@ LOG = "# log\n## 1/2/26 - 1/5/26 b\nx\n## Pre-history\ny\n## 3/4/26\nz\n## Earli
 INDEX = "# i\n### Old\nregistered 2025-01-02\n### None\ntext\n### New\nregistered 2026-01-02"
 
 
-@query(values([(1, "3/4/26", "New"), (2, "1/2/26 - 1/5/26 b", "Old"), (3, "Pre-history", "None"), (4, "Earlier", None), (5, "odd", None)], "place, section, base"))
+@case(values([(1, "3/4/26", "New"), (2, "1/2/26 - 1/5/26 b", "Old"), (3, "Pre-history", "None"), (4, "Earlier", None), (5, "odd", None)], "place, section, base"))
 def markdown_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC23, SRC24, SRT02, SRT03: sections of a changelog and bases of an index in their order."""
     from ..operators.order import numbered
@@ -116,7 +106,7 @@ def markdown_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "place", "left")
 
 
-@query(values([("a b", "<!-- processed-commit: 89abcde -->\na b", "89abcde")], "t, marked, commit"))
+@case(values([("a b", "<!-- processed-commit: 89abcde -->\na b", "89abcde")], "t, marked, commit"))
 def processed_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK15: the marker of a changelog, put in and replaced."""
     once = spark.sql(f"SELECT * FROM {values([('a b', 1)], 't, n')}").withColumn("m", files.with_processed_commit(F.col("t"), F.lit("1234567")))
@@ -136,7 +126,7 @@ def artifact_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTING = [("f", "f/My Resume.pages"), ("f", "f/MyResume.pdf"), ("g", "g/CV.pages"), ("g", "g/CV FULL.pdf")]
 
 
-@query(values([("f/My Resume.pages", "ok", "f/MyResume.pdf"), ("g/CV.pages", "no-readable-pdf", None)], "path, status, pdf"))
+@case(values([("f/My Resume.pages", "ok", "f/MyResume.pdf"), ("g/CV.pages", "no-readable-pdf", None)], "path, status, pdf"))
 def readable_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC29: the PDF of a document, never a bundle."""
     return artifacts.readable(spark.sql(f"SELECT * FROM {values(LISTING, 'folder, path')}"))
@@ -147,7 +137,7 @@ HEAD = "Company: {}\nRole: {}\nWorking Location(s): Employer did not mention\nEm
 NO = "Employer did not mention"
 
 
-@query(values([("a.txt", HEAD.format("A", "PM", "$1", "u", "https://a.com/x", "body\n\n kept"), "https://a.com/x", "body\n\n kept"), ("b.txt", "QUARANTINED: empty\n" + HEAD.format(NO, NO, NO, NO, "https://b.com", ""), "https://b.com/", "")], "filename, text, capture_key, body"))
+@case(values([("a.txt", HEAD.format("A", "PM", "$1", "u", "https://a.com/x", "body\n\n kept"), "https://a.com/x", "body\n\n kept"), ("b.txt", "QUARANTINED: empty\n" + HEAD.format(NO, NO, NO, NO, "https://b.com", ""), "https://b.com/", "")], "filename, text, capture_key, body"))
 def capture_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK01, SNK02, PRJ04: captures and stubs as text, and what is read back from them."""
     rows = spark.sql(f"SELECT * FROM {values(WRITTEN, 'pos, url, company, title, location, compensation, apply_url, text, status, filename')}")
@@ -157,16 +147,8 @@ def capture_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("filename", "text", identity.written_key("text").alias("capture_key"), writers.body_of(F.col("text")).alias("body"))
 
 
-@query("""
-SELECT o_orderstatus AS status, count(*)::BIGINT AS n, md5(string_agg('- ' || o_orderpriority || ': ' || o_custkey, chr(10) ORDER BY o_orderkey)) AS lines_md5 FROM orders WHERE o_orderkey % 20 = 0 GROUP BY o_orderstatus
-""")
-def grouped_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK03, SNK04, AGG13: a report's groups with their lines in order; orders are entries."""
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("pos"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("company"), F.col("o_custkey").cast("string").alias("title"))
-    return writers.report(o).select("status", "n", F.md5("lines").alias("lines_md5"))
-
 
-@query(values([("a", "x=== JOB POST END ===\nCapture History:\nh", True), ("b", "y=== JOB POST END ===\nCapture History:\nk", False), ("c", "z", False)], "filename, text, changed"))
+@case(values([("a", "x=== JOB POST END ===\nCapture History:\nh", True), ("b", "y=== JOB POST END ===\nCapture History:\nk", False), ("c", "z", False)], "filename, text, changed"))
 def capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK14: histories rendered behind bodies, unchanged ones told apart."""
     rows = spark.sql(f"SELECT * FROM {values([('a', 'x=== JOB POST END ==='), ('b', 'y=== JOB POST END ===' + chr(10) + 'Capture History:' + chr(10) + 'k'), ('c', 'z')], 'filename, text')}")
@@ -177,7 +159,7 @@ def capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAYS = [("June 13, 2026", "2026-06-13", "2026-06-13T10:00:00", "June 13, 2026"), ("2026-06-13", "2026-06-13", "soon", "soon"), ("soon", "", "2026-01-02", "January 2, 2026")]
 
 
-@query(values([(i, d[1], d[3]) for i, d in enumerate(DAYS)], "pos, read_back, human"))
+@case(values([(i, d[1], d[3]) for i, d in enumerate(DAYS)], "pos, read_back, human"))
 def capture_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN10, FN11: dates read back and written out."""
     rows = spark.sql(f"SELECT * FROM {values([(i, d[0], d[2]) for i, d in enumerate(DAYS)], 'pos, a, b')}")
@@ -197,7 +179,7 @@ OFFERED = [
 OFFERED[2] = ("You get 5000 RSUs vesting over 4 years", None, "You get 5000 RSUs vesting over 4 years.")
 
 
-@query(values([(i, o[1], o[2]) for i, o in enumerate(OFFERED)], "pos, benefits, additional"))
+@case(values([(i, o[1], o[2]) for i, o in enumerate(OFFERED)], "pos, benefits, additional"))
 def offered_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN18, FN19, FLT09: benefits and pay beyond base, told or only mentioned."""
     rows = spark.sql(f"SELECT * FROM {values([(i, o[0]) for i, o in enumerate(OFFERED)], 'pos, t')}")
@@ -211,14 +193,14 @@ EDITS = [
 EDITS[1] = ("Responsibilities: a.\nsalary of 5", "Responsibilities: a.", "Compensation", "Employer materially updated the posting.")
 
 
-@query(values([(i, e[2], e[3]) for i, e in enumerate(EDITS)], "pos, lost, note"))
+@case(values([(i, e[2], e[3]) for i, e in enumerate(EDITS)], "pos, lost, note"))
 def body_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG06, AGG07: regions that a new body lost, and whether the employer changed the posting."""
     rows = spark.sql(f"SELECT * FROM {values([(i, e[0], e[1]) for i, e in enumerate(EDITS)], 'pos, a, b')}")
     return rows.select("pos", F.array_join(miners.lost_regions("a", "b"), ", ").alias("lost"), miners.material_change("a", "b").alias("note"))
 
 
-@query(values([(0, "added:place,corrected:base")], "pos, changes"))
+@case(values([(0, "added:place,corrected:base")], "pos, changes"))
 def capture_field_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN25: what a new capture added or corrected."""
     old = "Posted: 2026-01-01\nWorking Location(s): Unknown\nBase Salary: $5"
@@ -229,7 +211,7 @@ def capture_field_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 FORM = {"questions": [{"label": "Why us?", "required": True, "fields": [{"name": "q_1", "type": "textarea", "values": []}]}, {"label": "Email", "required": True, "fields": [{"name": "email", "type": "input_text", "values": []}]}, {"label": "Will you attend the office 3 days per week?", "required": True, "fields": [{"name": "q_2", "type": "multi", "values": [{"label": "Yes"}, {"label": "NYC"}]}]}]}
 
 
-@query(values([("u", "Why us? | Will you attend the office 3 days per week?", "substantive | logistical", "SF; NYC")], "url, labels, classes, place"))
+@case(values([("u", "Why us? | Will you attend the office 3 days per week?", "substantive | logistical", "SF; NYC")], "url, labels, classes, place"))
 def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN21, FN26, FLT08: questions of a payload, kept ones with classes, and the metros that they offer."""
     rows = spark.sql(f"SELECT * FROM {values([('u', json.dumps(FORM))], 'url, body')}")
@@ -240,14 +222,14 @@ def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL = [("orNew and Old", "or New and Old", "greenhouse-boards-api", True, "07-17-26", True), ("of course", "of course", "requests/html", False, "7-17-26", False)]
 
 
-@query(values([(i, s[1], s[3], s[5]) for i, s in enumerate(SMALL)], "pos, repaired, structured, batch_ok"))
+@case(values([(i, s[1], s[3], s[5]) for i, s in enumerate(SMALL)], "pos, repaired, structured, batch_ok"))
 def small_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN15, FLT04, SNK12: fused words, structured sources, names of batches."""
     rows = spark.sql(f"SELECT * FROM {values([(i, s[0], s[2], s[4]) for i, s in enumerate(SMALL)], 'pos, t, s, b')}")
     return rows.select("pos", T.repair_fusion("t").alias("repaired"), captures.structured_source("s").alias("structured"), dates.batch_name("b").alias("batch_ok"))
 
 
-@query(values([(0, "Jo-Doe-Resume - Acme - Senior PM.pdf")], "pos, filename"))
+@case(values([(0, "Jo Doe-Resume - Acme - Senior PM.pdf")], "pos, filename"))
 def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ12: names of artifacts."""
     return spark.sql(f"SELECT * FROM {values([(0, 'Jo Doe', 'Acme', 'Sr. Product Manager')], 'pos, who, co, role')}").select("pos", names.artifact_name("who", "co", "role").alias("filename"))
@@ -256,5 +238,5 @@ def artifact_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN '⚠️ NEEDS RE-FETCH' ELSE o_orderstatus END AS status, o_orderstatus <> 'P' AS counted FROM orders")
 def refetch_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SPC04: rows with unverified content are marked and left out of the banner."""
-    bad = F.col("o_orderstatus") == "P"
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.when(bad, "⚠️ NEEDS RE-FETCH").otherwise(F.col("o_orderstatus")).alias("status"), (~bad).alias("counted"))
+    mark = scores.refetch_status("o_orderstatus", F.col("o_orderstatus") == "P")
+    return read(spark, sf_dir, "orders").select("o_orderkey", mark["status"].alias("status"), mark["counted"].alias("counted"))

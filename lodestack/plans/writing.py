@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import writing
 from .matching import SENTENCES
-from .registry import query, read, values
+from .registry import case, query, read, values
 
 
 @query(f"""
@@ -36,7 +36,7 @@ def lint_phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 BULLETS = [("- **Led** the [team](https://x.y) to a launch, with care and speed in mind", "led the team to a launch with care and speed in mind", True), ("* short one", "short one", False)]
 
 
-@query(values([(i, b[1], b[2]) for i, b in enumerate(BULLETS)], "pos, k, counts"))
+@case(values([(i, b[1], b[2]) for i, b in enumerate(BULLETS)], "pos, k, counts"))
 def bullet_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN37: what copies of a bullet share, and whether it is long enough to count."""
     rows = spark.sql(f"SELECT * FROM {values([(i, b[0]) for i, b in enumerate(BULLETS)], 'pos, b')}").withColumn("k", T.bullet_key("b"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import posting_date
+from ..functions.html import structured_text
 from ..functions.text import first, has, prettify_slug, strip, strip_html, strings
 from ..operators.identity import part
 
@@ -65,7 +66,7 @@ def ashby(rows: DataFrame) -> DataFrame:
     kind = F.regexp_replace(j["employmentType"], "(?<=[a-z])(?=[A-Z])", " ")
     return _made(
         _parsed(rows, ASHBY), "ashby", posting_id=j["id"], title=j["title"], company=_org(), location=_once(F.filter(places, lambda p: p.isNotNull()), "; "), employment_type=kind,
-        remote=j["isRemote"], compensation=_once(tiers, " · "), apply_url=F.coalesce(j["applyUrl"], j["jobUrl"]), posted_date=posting_date(j["publishedAt"]), text=F.coalesce(j["descriptionPlain"], strip_html(j["descriptionHtml"])),
+        remote=j["isRemote"], compensation=_once(tiers, " · "), apply_url=F.coalesce(j["applyUrl"], j["jobUrl"]), posted_date=posting_date(j["publishedAt"]), text=F.coalesce(j["descriptionPlain"], structured_text(j["descriptionHtml"])),
     )
 
 
@@ -82,7 +83,7 @@ def greenhouse(rows: DataFrame, boards: DataFrame | None = None) -> DataFrame:
     return _made(
         parsed, "greenhouse", posting_id=j["id"].cast("string"), title=j["title"], company=F.coalesce("_name", prettify_slug("_board")),
         location=F.coalesce(j["location"]["name"], _once(F.transform(j["offices"], lambda o: o["name"]), "; ")), compensation=_once(pay, " · "), apply_url=j["absolute_url"],
-        posted_date=posting_date(j["first_published"]), text=strip_html(entities),
+        posted_date=posting_date(j["first_published"]), text=structured_text(entities),
     )
 
 
@@ -94,7 +95,7 @@ def lever(rows: DataFrame) -> DataFrame:
     return _made(
         _parsed(rows, LEVER), "lever", posting_id=first("url", r"([0-9a-f-]{36})"), title=j["text"], company=_org(), location=F.coalesce(_once(j["categories"]["allLocations"], "; "), j["categories"]["location"]),
         employment_type=j["categories"]["commitment"], remote=F.lower(j["workplaceType"]) == "remote", compensation=_money(pay["min"], pay["max"], pay["currency"]), apply_url=F.coalesce(j["applyUrl"], j["hostedUrl"]),
-        posted_date=posting_date(j["createdAt"].cast("string")), text=strip_html(F.concat_ws("\n", j["description"], lists, j["additional"])),
+        posted_date=posting_date(j["createdAt"].cast("string")), text=structured_text(F.concat_ws("\n", j["description"], lists, j["additional"])),
     )
 
 
@@ -106,7 +107,7 @@ def rippling(rows: DataFrame) -> DataFrame:
     return _made(
         _parsed(rows, RIPPLING), "rippling", posting_id=j["uuid"], title=j["name"], company=_org(), location=_once(j["workLocations"], "; "), employment_type=F.coalesce(j["employmentType"]["id"], j["employmentType"]["label"]),
         remote=(F.size(j["workLocations"]) > 0) & F.forall(j["workLocations"], away), compensation=_once(pay, " · "), apply_url=F.concat(F.col("url"), F.lit("/apply")), posted_date=posting_date(j["createdOn"]),
-        text=strip_html(F.concat_ws("\n", j["description"]["company"], j["description"]["role"])),
+        text=structured_text(F.concat_ws("\n", j["description"]["company"], j["description"]["role"])),
     )
 
 
@@ -117,7 +118,7 @@ def workable(rows: DataFrame) -> DataFrame:
     seen = F.filter(F.coalesce(j["locations"], F.array()), lambda p: ~F.coalesce(p["hidden"], F.lit(False)))
     return _made(
         _parsed(rows, WORKABLE), "workable", posting_id=j["shortcode"], title=j["title"], company=_org(), location=F.coalesce(_once(F.transform(seen, place), "; "), place(j["location"])), employment_type=j["type"],
-        remote=j["remote"], apply_url=F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/apply/")), posted_date=posting_date(j["published"]), text=strip_html(F.concat_ws("\n", j["description"], j["requirements"], j["benefits"])),
+        remote=j["remote"], apply_url=F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.lit("/apply/")), posted_date=posting_date(j["published"]), text=structured_text(F.concat_ws("\n", j["description"], j["requirements"], j["benefits"])),
     )
 
 
@@ -126,7 +127,7 @@ def workday(rows: DataFrame) -> DataFrame:
     i = F.col("j.jobPostingInfo")
     return _made(
         _parsed(rows, WORKDAY), "workday", posting_id=i["jobReqId"], title=i["title"], company=F.col("j.hiringOrganization.name"), location=F.coalesce(i["location"], i["jobRequisitionLocation"]["descriptor"]),
-        employment_type=i["timeType"], apply_url=i["externalUrl"], posted_date=F.coalesce(posting_date(i["postedOn"]), posting_date(i["startDate"])), text=strip_html(i["jobDescription"]),
+        employment_type=i["timeType"], apply_url=i["externalUrl"], posted_date=F.coalesce(posting_date(i["postedOn"]), posting_date(i["startDate"])), text=structured_text(i["jobDescription"]),
     )
 
 
@@ -143,7 +144,7 @@ def json_ld(pages: DataFrame) -> DataFrame:
     best = node.where(says.isNotNull()).groupBy("url").agg(F.min_by("j", F.struct("p", "q")).alias("j"))
     return _made(
         best, "json-ld", title=F.col("j.title"), company=F.col("j.hiringOrganization.name"), location=F.nullif(place, F.lit("")), employment_type=F.col("j.employmentType"), remote=F.col("j.jobLocationType") == "TELECOMMUTE",
-        compensation=money, posted_date=posting_date(F.col("j.datePosted")), text=strip_html(F.col("j.description")),
+        compensation=money, posted_date=posting_date(F.col("j.datePosted")), text=structured_text(F.col("j.description")),
     )
 
 
@@ -152,7 +153,7 @@ def page(pages: DataFrame) -> DataFrame:
     inner = lambda tag: strip_html(first("html", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"))
     og = first("html", r'(?is)<meta[^>]*property=["\']og:title["\'][^>]*content=["\']([^"\']*)')
     title = F.coalesce(og, F.nullif(inner("h1"), F.lit("")), F.nullif(inner("h2"), F.lit("")), F.nullif(inner("title"), F.lit("")))
-    return _made(pages, "generic", title=title, text=strip_html("html"))
+    return _made(pages, "generic", title=title, text=structured_text("html"))
 
 
 def greenhouse_questions(rows: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def linkedin(rows: DataFrame) -> DataFrame:
     """A guest fragment (url, html): title, company and place by their classes, pay by its element or a line of pay."""
     inner = lambda css: strip_html(first("html", rf'(?is)<(?:a|h1|h2|div|span)\b[^>]*class="[^"]*\b{css}\b[^"]*"[^>]*>(.*?)</(?:a|h1|h2|div|span)>'))
     given = lambda *css: F.coalesce(*[F.nullif(inner(c), F.lit("")) for c in css])
-    text = strip_html(F.coalesce(first("html", r'(?is)<div\b[^>]*class="[^"]*show-more-less-html__markup[^"]*"[^>]*>(.*?)</div>'), F.col("html")))
+    text = structured_text(F.coalesce(first("html", r'(?is)<div\b[^>]*class="[^"]*show-more-less-html__markup[^"]*"[^>]*>(.*?)</div>'), F.col("html")))
     line = first(text, r"(?im)^(.*(?:salary|compensation|base pay|pay range|annual)\b.*\$\s?\d{2,3}[,\d]*.*)$")
     day = posting_date(first("html", r'(?i)<time\b[^>]*datetime="([^"]+)"'))
     return _made(

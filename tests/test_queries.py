@@ -35,6 +35,12 @@ def test_other_queries_run(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(registry.CASES))
+def test_written_cases(spark, duck, name):
+    f, sql = registry.CASES[name]
+    assert rows(f(spark, DATA).toPandas()) == rows(duck.execute(sql).df())
+
+
 def test_entry(spark):
     import __spark_entry__
 

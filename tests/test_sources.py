@@ -39,7 +39,7 @@ def test_greenhouse(spark):
 
 def test_lever_rippling_workable_workday(spark):
     r = one(spark, payloads.lever, f"https://jobs.lever.co/findem/{UUID}", {"text": "PM", "categories": {"allLocations": ["NYC", "SF"], "commitment": "Full-time"}, "createdAt": 1782932070272, "description": "a", "lists": [{"text": "b", "content": "<li>c</li>"}], "additional": "d", "salaryRange": {"min": 100000, "max": 120000, "currency": "USD"}, "workplaceType": "remote", "hostedUrl": "h"})
-    assert (r.location, r.posted_date, r.text, r.compensation, r.remote, r.posting_id) == ("NYC; SF", "2026-07-01", "a\nb\n- c\nd", "USD 100,000–120,000", True, UUID)
+    assert (r.location, r.posted_date, r.text, r.compensation, r.remote, r.posting_id) == ("NYC; SF", "2026-07-01", "a\nb\nc\nd", "USD 100,000–120,000", True, UUID)
     r = one(spark, payloads.rippling, "https://ats.rippling.com/acme/jobs/x", {"uuid": "x", "name": "PM", "description": {"company": "c", "role": "r"}, "workLocations": ["Remote (US)", "NYC"], "employmentType": {"label": "SALARIED_FT", "id": "Full-time"}, "payRangeDetails": [{"location": "NYC", "currency": "USD", "rangeStart": 1e5, "rangeEnd": 1.5e5}]})
     assert (r.remote, r.employment_type, r.compensation) == (False, "Full-time", "NYC: USD 100,000–150,000")
     r = one(spark, payloads.workable, "https://apply.workable.com/feeld/j/AA?x=1", {"shortcode": "AA", "title": "CPO", "locations": [{"city": "London", "country": "UK", "hidden": False}, {"city": "Paris", "hidden": True}], "published": "2026-02-03", "description": "x"})
