@@ -342,7 +342,15 @@ def score(docs: DataFrame) -> DataFrame:
     parts = partitions(spark)
     table = f"lodestack_chunks_{uuid.uuid4().hex}"
     chunked(docs).write.bucketBy(parts, "chunk").option("path", f"{work.path}/chunks").option("compression", "none").saveAsTable(table)
-    chunks = spark.table(table)
+    try:
+        return _scored(spark.table(table), work, parts)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        work.drop("chunks")
+
+
+def _scored(chunks: DataFrame, work: Workspace, parts: int) -> DataFrame:
+    """The scores of all chunks, as a table."""
     words = work.table("words", count_words(ask_words(chunks, parts), parts))
     totals = words.where("chunk IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
     tokens, distinct = int(totals[0]), int(totals[1])
@@ -356,8 +364,6 @@ def score(docs: DataFrame) -> DataFrame:
     replies = bigrams.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", *STATS)).alias("bigram_answers"))
     joined = chunks.join(answers, "chunk").join(replies, "chunk", "left")
     scores = work.table("scores", score_chunks(joined, parts, hot, tokens, distinct, d, spread))
-    spark.sql(f"DROP TABLE {table}")
-    work.drop("chunks")
     work.drop("words")
     return scores
 
