@@ -377,7 +377,10 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
-    """doc_id and token_ids of every document, with byte offsets (one more than ids) from which a part can be decoded."""
+    """doc_id and token_ids of every document, with byte offsets (one more than ids) from which a part can be decoded.
+
+    docs needs doc_id and text; other columns are ignored. Null and empty texts have no tokens (and offset 0 alone).
+    Repeated rows give repeated results, an empty table none."""
     kept = [("token_ids", pa.list_(pa.int32()), "array<int>")] + [("offsets", pa.list_(pa.int64()), "array<long>")] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,7 +397,8 @@ def encode(docs: DataFrame, path: str, offsets: bool = True) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and text from encode()'s rows; null ids give a null text."""
+    """doc_id and text from encode()'s rows; null ids give a null text, none an empty one. Other columns are ignored;
+    repeated rows give repeated results, an empty table none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)

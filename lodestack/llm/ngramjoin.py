@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, text_slices, tidy, word_hashes
-from .components import components
+from .common import Workspace, mix, partitions, text_slices, tidy, word_hashes
+from .components import components, spread_join
 
 WORDS, SIMILARITY = 5, 0.8
 #: Places of a signature; buckets up to SMALL sets are compared, of larger ones what LEADERS leaders of a sample of
@@ -149,21 +149,26 @@ def _split(rows: DataFrame, depth: int, branches: int = 2) -> DataFrame:
 def candidates(sets: DataFrame, work: Workspace, similarity: float) -> DataFrame:
     """Edges (a, b) that connect, for every bucket, the sets whose signatures are near the threshold.
 
-    Only keys and paths are shuffled at first; signatures are fetched for buckets of two or more sets alone."""
+    Only keys and paths are shuffled at first; signatures are fetched for buckets of two or more sets alone. Of large
+    buckets, also on the last level, what follows a leader is settled over as many tasks as the bucket needs."""
     level, edges = sets.select(F.explode("paths").alias("path"), "key"), []
     for depth in range(1, DEPTH + 1):
         sizes = work.table(f"sizes{depth}", level.groupBy("path").count().where("count > 1"))
         rows = work.table(f"level{depth}", level.join(sizes, "path").join(sets.select("key", "sig"), "key"))
-        edges.append(_bucket_edges(rows if depth == DEPTH else rows.where(F.col("count") <= SMALL), similarity))
+        edges.append(_bucket_edges(rows.where(F.col("count") <= SMALL), similarity))
         large = rows.where(F.col("count") > SMALL)
-        if depth == DEPTH or large.isEmpty():
+        if large.isEmpty():
             break
         led = work.table(f"led{depth}", _led(large, similarity))
         edges.append(led.where("NOT rest").select("a", "b"))
         rest = led.where("rest").select(F.col("a").alias("path"), F.col("b").alias("key"))
         if rest.isEmpty():
             break
-        level = _split(rest.join(sets.select("key", "sig"), "key"), depth)
+        signed = rest.join(sets.select("key", "sig"), "key")
+        if depth == DEPTH:
+            edges.append(_bucket_edges(signed, similarity))
+            break
+        level = _split(signed, depth)
     return reduce(DataFrame.unionByName, edges).distinct()
 
 
@@ -236,6 +241,25 @@ def root(over: list[int], i: int) -> int:
     return i
 
 
+class Rows:
+    """Signatures that grow in number; each is copied a bounded number of times."""
+
+    def __init__(self) -> None:
+        self.n, self.room = 0, np.zeros((16, PLACES), np.uint8)
+
+    def append(self, row: np.ndarray) -> None:
+        if self.n == len(self.room):
+            self.room = np.concatenate([self.room, np.zeros_like(self.room)])
+        self.room[self.n] = row
+        self.n += 1
+
+    def filled(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def clear(self) -> None:
+        self.__init__()
+
+
 def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
     """Edges between near sets of each bucket, read in blocks of SMALL.
 
@@ -248,7 +272,7 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block_k: list[int] = []
         block_s: list[np.ndarray] = []
-        leaders: tuple[list[int], list[np.ndarray]] = ([], [])
+        leaders: tuple[list[int], Rows] = ([], Rows())
         over: list[int] = []  # of each leader, one that it is joined to, itself at the root
         path, blocks = None, 0
         out: tuple[list[int], list[int]] = ([], [])
@@ -267,7 +291,7 @@ def _bucket_edges(rows: DataFrame, similarity: float) -> DataFrame:
                         link(k[i], k[label[i]])
             else:
                 for i in range(len(k)):
-                    same = (np.array(leaders[1]) == s[i]).mean(axis=1) if leaders[0] else np.zeros(0)
+                    same = (leaders[1].filled() == s[i]).mean(axis=1)
                     roots = list(dict.fromkeys(root(over, int(j)) for j in np.flatnonzero(same >= related)))
                     for r in roots[1:]:
                         link(leaders[0][r], leaders[0][roots[0]])
@@ -425,7 +449,7 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
         if out:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], names=["key", "partner", "links"])
 
-    return rows.repartition("task").sortWithinPartitions("task").select("task", "side", "key", "copies", "body").mapInArrow(tidy(run), "key long, partner long, links long")
+    return rows.repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task").select("task", "side", "key", "copies", "body").mapInArrow(tidy(run), "key long, partner long, links long")
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -443,9 +467,9 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     uniq = work.table("uniq", full.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.max("sig").alias("sig"), F.first("paths").alias("paths")))
     edges = candidates(uniq, work, similarity)
     groups = components(edges, work, "near").withColumnsRenamed({"node": "key", "label": "group"})
-    members = groups.join(uniq.select("key", "doc_id", "copies", "n"), "key")
-    stats = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    members = work.table("members", members.join(stats, "group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))))
+    members = work.table("grouped", groups.join(uniq.select("key", "doc_id", "copies", "n"), "key"))
+    stats = members.groupBy(F.col("group").alias("_group")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    members = work.table("members", spread_join(members, stats, "group", "_group", members.count()).drop("_group").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))))
     bodies = _packed(docs, *_wanted(members.select("doc_id", "key")))
     placed = bodies.join(members.withColumnRenamed("doc_id", "_own"), "key").where(F.col("doc_id").eqNullSafe(F.col("_own")))
     copies = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -457,7 +481,7 @@ def join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     known = uniq.select("key", "doc_id", "copies").join(classes, "key", "left").join(links, "key", "left").withColumn("root", F.coalesce("root", "key"))
     known = work.table("known", known)
     least = known.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    by_key = known.join(least, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    by_key = spread_join(known, least.withColumnRenamed("root", "_root"), "root", "_root", known.count()).select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     joined = full.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id", "n_links")
     alone = sets.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return joined.unionByName(alone)
