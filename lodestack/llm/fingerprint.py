@@ -112,10 +112,11 @@ def next_to_each_other(docs: DataFrame) -> DataFrame:
     parts = partitions(spark)
     cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    # How many cuts a row's id doesn't exceed, null ids last; a range's greatest id is its cut, which comes first and is
+    # the one that can fill it. Both are read off once a row, in a function of that number.
     place = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("doc_id")))).cast("int")
-    # a range's greatest id is its cut: it comes first, and is the one that can fill it
-    full = F.col("doc_id").isNull() | F.exists(bounds, lambda c: c == F.col("doc_id"))
-    sizes = rows.select(place.alias("place"), F.coalesce(full, F.lit(False)).alias("full")).groupBy("place", "full").count().collect()
+    full = lambda p: F.col("doc_id").isNull() | F.coalesce(F.get(bounds, F.lit(len(cuts)) - p) == F.col("doc_id"), F.lit(False))
+    sizes = rows.select(F.explode(F.transform(F.array(place), lambda p: F.struct(p.alias("place"), full(p).alias("full")))).alias("s")).select("s.*").groupBy("place", "full").count().collect()
     share = max(1, sum(r["count"] for r in sizes) / parts)
     split, offsets, n = [1] * (len(cuts) + 2), [], 0
     for r in sizes:
@@ -124,10 +125,10 @@ def next_to_each_other(docs: DataFrame) -> DataFrame:
     for m in split:
         offsets.append(n)
         n += m + 1
-    at = lambda numbers: F.get(F.array(*[F.lit(x) for x in numbers]), place)
-    deep = F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * at(split)).cast("int")
-    keyed = rows.withColumn("_tie", F.xxhash64("text"))
-    keyed = keyed.withColumn("_part", at(offsets) + F.when(F.coalesce(full, F.lit(False)), F.least(deep, at(split) - 1)).otherwise(at(split)))
+    first, pieces = F.array(*[F.lit(x) for x in offsets]), F.array(*[F.lit(x) for x in split])
+    deep = lambda m: F.least(F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * m).cast("int"), m - 1)
+    part = F.get(F.transform(F.array(place), lambda p: F.get(first, p) + F.when(full(p), deep(F.get(pieces, p))).otherwise(F.get(pieces, p))), F.lit(0))
+    keyed = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_part", part)
     firsts = keyed.groupBy("_part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("empty"), (-F.col("doc_id")).alias("down"), F.col("_tie").alias("tie"))).alias("f"))
     found = sorted((r["_part"], -r["f"]["down"] if r["f"]["down"] is not None else None, r["f"]["tie"]) for r in firsts.collect())
     heads = [(found[i - 1][0], doc_id, tie) for i, (_, doc_id, tie) in enumerate(found)]
