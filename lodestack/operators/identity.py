@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import chain, col, first, first_line, has, prettify_slug, slug, strings, strip
+from ..functions.text import chain, col, first, first_line, has, prettify_slug, slug, strings, strip, strip_html
 
 UUID = r"([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})"
 SHAPE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -147,6 +147,16 @@ def title_and_brand(title) -> Column:
     return F.struct(strip(found, r"\s|·:,–—-").alias("title"), F.when((brand != "") & ~has(brand, r"(?i)\b(careers?|jobs?)\b"), brand).alias("brand"))
 
 
+def declared_name(html, organization=None) -> Column:
+    """How an employer's page spells the employer: the organisation of its posting, its site's name, else what its title
+    wraps around the role; null where it declares none."""
+    site = F.coalesce(first(html, r"""(?is)<meta[^>]*og:site_name["'][^>]*content=["']([^"']*)"""), first(html, r"""(?is)<meta[^>]*content=["']([^"']*)["'][^>]*og:site_name"""))
+    title = F.trim(F.regexp_replace(strip_html(first(html, r"(?is)<title[^>]*>(.*?)</title>")), r"\s+", " "))
+    alone = first(title, r"(?i)^(?:careers?|jobs?)\s+at\s+(.+)$")
+    given = [F.nullif(F.trim(F.regexp_replace(strip_html(c), r"\s+", " ")), F.lit("")) for c in ([col(organization)] if organization is not None else []) + [site, alone]]
+    return F.coalesce(*given, title_and_brand(title)["brand"])
+
+
 def apply_url(url) -> Column:
     """Where to apply for a posting, by its system: the path alone, with the system's own ending."""
     u = strip(url)

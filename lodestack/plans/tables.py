@@ -262,6 +262,15 @@ def cleaned_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", T.strip_wrapping_quotes(cat(" “", F.col("p_name"), "” ")).alias("bare"), identity.clean_company(company).alias("company"), title.alias("title"))
 
 
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 3 THEN NULL ELSE 'Help ' || c_mktsegment END AS declared FROM customer")
+def declared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ07: how a page of every customer spells its employer: by its site's name, or by what its title wraps."""
+    name = cat("Help ", F.col("c_mktsegment"))
+    html = F.when(F.col("c_custkey") % 4 == 0, cat('<meta property="og:site_name" content="', name, '"><title>PM | Other Jobs</title>')).when(F.col("c_custkey") % 4 == 1, cat("<title>Senior PM – Careers at ", name, "</title>"))
+    html = html.when(F.col("c_custkey") % 4 == 2, cat("<title>Senior PM | ", name, " Careers</title>")).otherwise("<title>Senior PM</title>")
+    return read(spark, sf_dir, "customer").select("c_custkey", identity.declared_name(html).alias("declared"))
+
+
 @query("SELECT o_orderkey, CASE WHEN c AND l THEN '✓ complete' WHEN NOT c AND NOT l THEN '⚠ comp+location not verified' WHEN l THEN '⚠ comp not verified' ELSE '⚠ location unknown' END AS label FROM (SELECT o_orderkey, o_orderkey % 2 = 0 AS c, o_orderstatus <> 'O' AS l FROM orders)")
 def cell_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN08: completeness of every order by its own cells."""
