@@ -11,6 +11,7 @@ from ..functions.text import col, sentences, word_count
 LEAST, FLAT = 8, 0.35
 #: Rules that someone may write by hand; more are refused.
 MOST_RULES = 2000
+HITS = "array<struct<rule:string,phrase:string,n:bigint>>"
 
 
 def rhythm(rows: DataFrame, key: str, text: str = "text", least: int = LEAST) -> DataFrame:
@@ -24,12 +25,13 @@ def phrase_hits(rows: DataFrame, rules: DataFrame, key: str, text: str = "text")
     """(key, rule, phrase, n) for every rule's phrase that a text has, in lower case.
 
     Rules are a small table that someone writes by hand; they are read once and become one expression over the texts,
-    so texts are scanned once and no product of texts and rules is formed."""
-    listed = [(r["phrase"], r["rule"]) for r in rules.select("phrase", "rule").limit(MOST_RULES + 1).collect()]
+    so texts are scanned once and no product of texts and rules is formed. Null and empty phrases are no rules; without
+    any rule there are no rows."""
+    listed = [(r["phrase"], r["rule"]) for r in rules.where("phrase <> ''").select("phrase", "rule").limit(MOST_RULES + 1).collect()]
     if len(listed) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
     low = F.lower(F.coalesce(col(text), F.lit("")))
-    made = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(p).alias("phrase"), F.floor((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("long").alias("n")) for p, rule in listed])
+    made = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(p).alias("phrase"), F.floor((F.length(low) - F.length(F.replace(low, F.lit(p), F.lit("")))) / len(p)).cast("long").alias("n")) for p, rule in listed]).cast(HITS)
     found = rows.select(key, F.explode(F.filter(made, lambda s: s["n"] > 0)).alias("h"))
     return found.select(key, "h.rule", "h.phrase", "h.n")
 
