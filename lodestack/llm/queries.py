@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, pii, viterbi
-from .common import is_train, read
+from . import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, pii, sequenced, viterbi
+from .common import Workspace, is_train, read
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +117,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~is_train(skip=0)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op12_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every change of a client, applied in the order of its numbers over twelve batches."""
+    columns = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance"]
+    rows = read(spark, sf_dir, "client_changes").select(*columns).distinct()
+    numbered = sequenced.dense_ranks(rows, "client_id", "seq", "n", Workspace(spark, "ranks"))
+    h = F.crc32(F.encode(F.coalesce(F.col("change_id").cast("string"), F.lit("")), "UTF-8"))
+    dated = numbered.where(F.col("valid_at").isNotNull() & (h % 11 != 0)).withColumn("day", (sequenced.epoch_day(F.col("valid_at")) + 9 * (h % 4)).cast("int"))
+    batch = F.least(F.lit(12), 1 + F.floor((F.col("day") - 19723) * 12 / 160)).cast("int")
+    changes = dated.withColumn("batch", F.greatest(F.lit(1), batch)).withColumn("tie", F.xxhash64(*columns[2:]))  # days before the first are of the first batch
+    done = sequenced.apply_changes(changes, 12)
+    cents = F.floor(F.when(~F.isnan("balance"), F.col("balance")) * 100 + 0.5)
+    return done.select("change_id", "client_id", "status", "batch", "missed", "city", cents.alias("cents"), "current", "n")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_line_dedup": op2_line_dedup,
@@ -128,5 +142,6 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
+    "op12_changes": op12_changes,
 }
 ORACLES = {"op1_mix": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL}
