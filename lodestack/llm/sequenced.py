@@ -9,6 +9,7 @@ from __future__ import annotations
 import contextlib
 import heapq
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,28 +39,35 @@ class Applier(StatefulProcessor):
     """Applies what is due, holds what is early, rejects what is late or a second of its number.
 
     Of two rows of one number in one batch, the first by day and id stays. Since only that depends on the order of a
-    batch's rows, they are taken as they come, and what is due is applied once all have been seen."""
+    batch's rows, they are taken as they come, and what is due is applied once all have been seen. The state of a
+    client is a map of what waits, by number, and one value: the next number, how many wait since which day, and the
+    values now (one, as every read and write is a call to the JVM)."""
 
-    def __init__(self, values: T.StructType, patience: int = PATIENCE, keep: int = KEEP):
-        self.values, self.patience, self.keep = values, patience, keep
-        self.out = Row("_key", "_none", "change_id", "n", "op", "status", "batch", "missed", *values.names)
+    def __init__(self, values: T.StructType, batch: int, patience: int = PATIENCE, keep: int = KEEP):
+        self.values, self.batch, self.patience, self.keep = values, batch, patience, keep
+        self.out = Row("client_id", "change_id", "n", "op", "status", "batch", "missed", *values.names)
+        self.nothing = (None,) * len(values)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.due = handle.getValueState("due", T.StructType().add("next", "long").add("held", "long").add("earliest", "integer"))
-        self.now = handle.getValueState("now", self.values)
+        due = T.StructType().add("next", "long").add("held", "long").add("earliest", "integer")
         row = T.StructType().add("change_id", "long").add("op", "string").add("day", "integer")
+        self.now = handle.getValueState("now", T.StructType(due.fields + self.values.fields))
         self.held = handle.getMapState("held", T.StructType().add("n", "long"), T.StructType(row.fields + self.values.fields))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        """rows are changes and clock rows (without a number); each carries its batch and the batch's clock."""
-        was = self.due.get() or (1, 0, 0)
-        client = _Client(self, key, was)
-        for row in rows:
-            if client.batch is None:
-                client.batch = row.batch
-                yield from client.expire(row.clock)
-            if row.n is not None:
-                yield from client.take(row)
+        """rows are (key, clock, change); a clock row has no change. All of a batch tell the same clock."""
+        was, first = self.now.get(), next(rows)
+        if first[-1] is None and was is not None and not was[1]:  # most clock rows find nothing that waits
+            first = next(rows, None)
+            if first is None:
+                return iter(())
+        return self._run(_Client(self, key[0], was or (1, 0, 0, *self.nothing)), was, first, rows)
+
+    def _run(self, client: _Client, was: tuple | None, first: Row, rest: Iterator[Row]) -> Iterator[Row]:
+        yield from client.expire(first[-2])
+        for row in chain((first,), rest):
+            if row[-1] is not None:
+                yield from client.take(row[-1])
         yield from client.pop(0)
         client.save(was)
 
@@ -70,14 +78,14 @@ class Applier(StatefulProcessor):
 class _Client:
     """One client in one batch."""
 
-    def __init__(self, of: Applier, key: tuple, due: tuple):
-        self.of, self.key, self.batch = of, key, None
-        self.next, self.n_held, self.earliest = due
+    def __init__(self, of: Applier, key: int | None, now: tuple):
+        self.of, self.key = of, key
+        self.next, self.n_held, self.earliest, *values = now
+        self.values = tuple(values)
         self.days: dict[int, int] = {}  # of every number that waits
         self.rows: dict[int, tuple] = {}  # of at most keep of them
         self.stored: set[int] = set()  # numbers whose rows are in the state
         self.order: dict[int, tuple] = {}  # of this batch's numbers
-        self.values: tuple | None = None
         self.loaded = not self.n_held
 
     def load(self) -> None:
@@ -107,21 +115,21 @@ class _Client:
             missed, self.next = numbers[-1] - self.next, numbers[-1]
             yield from self.pop(missed)
 
-    def take(self, row: Row) -> Iterator[Row]:
-        n = row.n
-        self.load()
+    def take(self, row: dict) -> Iterator[Row]:
+        n, change, op = row["n"], row["change_id"], row["op"]
         if n < self.next:
-            yield self.rejected(row.change_id, n, row.op)
+            yield self.rejected(change, n, op)
             return
-        order = (row.day, row.change_id is None, row.change_id or 0, row.tie, row.op)
+        self.load()
+        order = (row["day"], change is None, change or 0, row["tie"], op)
         if n in self.days:
             before = self.order.get(n)
-            if before is None or before <= order:
-                yield self.rejected(row.change_id, n, row.op)
+            if before is None or before[:4] <= order[:4]:
+                yield self.rejected(change, n, op)
                 return
             yield self.rejected(None if before[1] else before[2], n, before[4])
-        self.order[n], self.days[n] = order, row.day
-        kept = (row.change_id, row.op, row.day, *(row[c] for c in self.of.values.names))
+        self.order[n], self.days[n] = order, row["day"]
+        kept = (change, op, row["day"], *(row[c] for c in self.of.values.names))
         if n in self.rows or len(self.rows) < self.of.keep:
             self.rows[n] = kept
             self.stored.discard(n)
@@ -138,33 +146,29 @@ class _Client:
                 self.of.held.removeKey((n,))
                 self.stored.discard(n)
             del self.days[n]
-            if self.values is None:
-                self.values = self.of.now.get() or (None,) * len(self.of.values)
-            op, new = row[1], row[3:]
+            op, new = row[1], tuple(row[3:])
             if op == "I":
-                self.values = tuple(new)
+                self.values = new
             elif op == "U":
                 self.values = tuple(b if a is None else a for a, b in zip(new, self.values))
             elif op == "D":
-                self.values = (None,) * len(new)
+                self.values = self.of.nothing
             self.next += 1
-            yield self.of.out(*self.key, row[0], n, op, "applied", self.batch, missed, *self.values)
+            yield self.of.out(self.key, row[0], n, op, "applied", self.of.batch, missed, *self.values)
             missed = 0
 
     def rejected(self, change_id: int | None, n: int, op: str | None) -> Row:
-        return self.of.out(*self.key, change_id, n, op, "rejected", self.batch, 0, *(None,) * len(self.of.values))
+        return self.of.out(self.key, change_id, n, op, "rejected", self.of.batch, 0, *self.of.nothing)
 
-    def save(self, was: tuple) -> None:
+    def save(self, was: tuple | None) -> None:
         if self.loaded and (self.days or self.n_held):
             for n, row in self.rows.items():
                 if n not in self.stored:
                     self.of.held.updateValue((n,), row)
             self.n_held, self.earliest = len(self.days), min(self.days.values(), default=0)
-        due = (self.next, self.n_held, self.earliest)
-        if due != tuple(was) or was == (1, 0, 0):
-            self.of.due.update(due)
-        if self.values is not None:
-            self.of.now.update(self.values)
+        now = (self.next, self.n_held, self.earliest, *self.values)
+        if was is None or now != tuple(was):
+            self.of.now.update(now)
 
 
 @contextlib.contextmanager
@@ -196,7 +200,7 @@ def dense_ranks(rows: DataFrame, key: str, order: str, name: str, work: Workspac
     return rows.join(ranks, rows[key].eqNullSafe(ranks["_k"]) & rows[order].eqNullSafe(ranks["_o"])).drop("_k", "_o")
 
 
-def apply_changes(changes: DataFrame, batches: int, values: Sequence[str] = ("city", "balance"), patience: int = PATIENCE) -> DataFrame:
+def apply_changes(changes: DataFrame, batches: int, values: Sequence[str] = ("city", "balance"), patience: int = PATIENCE, keep: int = KEEP) -> DataFrame:
     """client_id, change_id, n, op, status, batch, missed, the values afterwards and current: one row a row of changes.
 
     changes needs client_id, change_id, n (from 1 on), day, batch (1 to batches), op, tie (which orders rows equal in
@@ -211,34 +215,33 @@ def apply_changes(changes: DataFrame, batches: int, values: Sequence[str] = ("ci
     spark = changes.sparkSession
     work = Workspace(spark, "changes")
     kinds = T.StructType([changes.schema[c] for c in values])
-    # a null key is written as 0 and marked
-    own = [F.coalesce("client_id", F.lit(0)).cast("long").alias("_key"), F.col("client_id").isNull().cast("int").alias("_none")]
-    rows = changes.where("n IS NOT NULL AND day IS NOT NULL AND batch IS NOT NULL")
-    rows = rows.select(*own, F.col("batch").cast("int").alias("batch"), F.col("n").cast("long").alias("n"), F.col("day").cast("int").alias("day"), F.col("change_id").cast("long").alias("change_id"), F.col("op").cast("string").alias("op"), F.col("tie").cast("long").alias("tie"), *[F.col(c) for c in values])
-    rows.repartition("batch", F.pmod(F.xxhash64("change_id", "n"), F.lit(partitions(spark)))).write.partitionBy("batch").option("compression", "zstd").parquet(f"{work.path}/rows")
+    key, batch = F.col("client_id").cast("long").alias("client_id"), F.col("batch").cast("int").alias("batch")
+    change = F.struct(F.col("n").cast("long").alias("n"), F.col("day").cast("int").alias("day"), F.col("change_id").cast("long").alias("change_id"), F.col("op").cast("string").alias("op"), F.col("tie").cast("long").alias("tie"), *values)
+    rows = changes.where("n IS NOT NULL AND day IS NOT NULL AND batch IS NOT NULL").select(key, change.alias("change"), batch)
+    rows.repartition("batch", F.pmod(F.xxhash64("change"), F.lit(partitions(spark)))).write.partitionBy("batch").option("compression", "zstd").parquet(f"{work.path}/rows")
     rows = work.read("rows", rows)
-    known = work.table("known", rows.groupBy("_key", "_none").agg(F.min("batch").alias("first")))
-    latest = {r["batch"]: r["day"] for r in rows.groupBy("batch").agg(F.max("day").alias("day")).collect()}
-    fed = T.StructType([f for f in rows.schema.fields if f.name != "batch"]).add("batch", "integer").add("clock", "integer")
-    out = T.StructType().add("_key", "long").add("_none", "integer").add("change_id", "long").add("n", "long").add("op", "string").add("status", "string").add("batch", "integer").add("missed", "long")
+    known = work.table("known", rows.groupBy("client_id").agg(F.min("batch").alias("first")))
+    latest = {r["batch"]: r["day"] for r in rows.groupBy("batch").agg(F.max("change.day").alias("day")).collect()}
+    fed = T.StructType().add("client_id", "long").add("clock", "integer").add("change", rows.schema["change"].dataType)
+    out = T.StructType().add("client_id", "long").add("change_id", "long").add("n", "long").add("op", "string").add("status", "string").add("batch", "integer").add("missed", "long")
     out = T.StructType(out.fields + kinds.fields)
-    path, clock = {k: f"{work.path}/{k}" for k in ("fed", "state", "out")}, None
+    path = {k: f"{work.path}/{k}" for k in ("fed", "state", "out")}
     with settings(spark, SETTINGS):
         for b in range(1, batches + 2):
             clock = END if b > batches else max((d for k, d in latest.items() if k < b), default=None)
-            told = known.where(F.col("first") < b).select("_key", "_none")
-            both = rows.where(F.col("batch") == b).unionByName(told, allowMissingColumns=True)
-            both.withColumns({"batch": F.lit(b), "clock": F.lit(clock).cast("int")}).select(*fed.names).write.mode("append").parquet(path["fed"])
+            told = known.where(F.col("first") < b).select("client_id", F.lit(None).cast(fed["change"].dataType).alias("change"))
+            both = rows.where(F.col("batch") == b).select("client_id", "change").unionByName(told)
+            both.select("client_id", F.lit(clock).cast("int").alias("clock"), "change").write.mode("append").parquet(path["fed"])
             stream = spark.readStream.schema(fed).parquet(path["fed"])
-            done = stream.groupBy("_key", "_none").transformWithState(Applier(kinds, patience), out, "append", "none")
+            done = stream.groupBy("client_id").transformWithState(Applier(kinds, b, patience, keep), out, "append", "none")
             done.writeStream.format("parquet").option("checkpointLocation", path["state"]).trigger(availableNow=True).start(path["out"]).awaitTermination()
     work.drop("rows")
     found = spark.read.schema(out).parquet(path["out"])
     applied = found.where("status = 'applied'")
-    last = applied.groupBy("_key", "_none").agg(F.max(F.struct("n", "op")).alias("l")).select(F.col("_key").alias("_k"), F.col("_none").alias("_z"), F.col("l.n").alias("_n"), (~F.col("l.op").eqNullSafe("D")).alias("_live"))
-    marked = applied.join(last.hint("merge"), (F.col("_key") == F.col("_k")) & (F.col("_none") == F.col("_z")) & (F.col("n") == F.col("_n")), "left")
+    last = applied.groupBy("client_id").agg(F.max(F.struct("n", "op")).alias("l")).select(F.col("client_id").alias("_k"), F.col("l.n").alias("_n"), (~F.col("l.op").eqNullSafe("D")).alias("_live"))
+    marked = applied.join(last.hint("merge"), F.col("client_id").eqNullSafe(F.col("_k")) & (F.col("n") == F.col("_n")), "left")
     every = marked.select(*out.names, F.coalesce("_live", F.lit(False)).alias("current")).unionByName(found.where("status <> 'applied'").withColumn("current", F.lit(False)))
-    return every.select(F.when(F.col("_none") == 0, F.col("_key")).alias("client_id"), *out.names[2:], "current")
+    return every.select(*out.names, "current")
 
 
 def epoch_day(at: Column) -> Column:
