@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, pii, sequenced, viterbi
+from . import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, periodic, pii, sequenced, viterbi
 from .common import Workspace, is_train, read
 
 
@@ -117,6 +117,28 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~is_train(skip=0)).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def with_repeats(text: Column, doc_id: Column) -> Column:
+    """A tenth of the texts, by the crc32 of the id, with their words from a drawn one on repeated by a drawn period."""
+    h = F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p))
+        return F.when(n == 0, text).otherwise(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, place(i))), " "))
+
+    # words stand in a function of their own, so that they are split once a text
+    return F.when(F.pmod(h, F.lit(10)) == 0, F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(mixing.WORD), F.lit(0))), repeated), F.lit(0))).otherwise(text)
+
+
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document, a tenth of them with words repeated, and what collapsing leaves."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", with_repeats(F.col("text"), F.col("doc_id")).alias("text"))
+    return periodic.digest(periodic.find(docs))
+
+
 def op12_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of every change of a client, applied in the order of its numbers over twelve batches."""
     columns = ["change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance"]
@@ -142,6 +164,7 @@ QUERIES = {
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe": op9_bpe,
     "op10_langid": op10_langid,
+    "op11_periodic": op11_periodic,
     "op12_changes": op12_changes,
 }
 ORACLES = {"op1_mix": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL}
