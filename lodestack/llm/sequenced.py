@@ -24,9 +24,11 @@ PATIENCE = 3
 KEEP = 10_000
 #: The clock of the last start, which no wait outlasts.
 END = 2**31 - 1 - 2**16
-#: State needs RocksDB; its memory is bounded a worker, and small batches write changes instead of whole files.
+#: State needs RocksDB. A start is one batch, so a task closes its store when it ends: what earlier starts had open would
+#: fill disk and memory. Memory is bounded a worker, and small batches write changes instead of whole files.
 SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
