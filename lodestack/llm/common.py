@@ -134,8 +134,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BYTE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
@@ -177,7 +177,7 @@ def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def word_spans(offsets: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of all texts, and how many words stand before each text."""
     solid = np.zeros(len(body) + 2, bool)
-    solid[1:-1] = ~_SPACE[body]
+    solid[1:-1] = ~SPACE[body]
     first = np.zeros(len(body) + 1, bool)
     first[offsets] = True
     starts = np.flatnonzero(solid[1:] & (~solid[:-1] | first))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, periodic, pii, sequenced, viterbi
+from . import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, periodic, pii, quality, sequenced, viterbi
 from .common import Workspace, is_train, read
 
 
@@ -153,6 +153,13 @@ def op12_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("change_id", "client_id", "status", "batch", "missed", "city", cents.alias("cents"), "current", "n")
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document by a model of the labels that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.is_held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_line_dedup": op2_line_dedup,
@@ -166,5 +173,6 @@ QUERIES = {
     "op10_langid": op10_langid,
     "op11_periodic": op11_periodic,
     "op12_changes": op12_changes,
+    "op13_quality": op13_quality,
 }
 ORACLES = {"op1_mix": OP1_SQL, "op2_line_dedup": OP2_SQL, "op4_ngram_join": OP4_SQL}
