@@ -134,14 +134,14 @@ class Index:
 class Part:
     """The index of all vectors of one length."""
 
-    def __init__(self, rows: DataFrame, dim: int, n: int, work: Workspace, k: int = 5):
+    def __init__(self, rows: DataFrame, dim: int, n: int, work: Workspace):
         self.dim, self.spark = dim, rows.sparkSession
         draw = F.xxhash64(F.lit(9), "id", "v").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
         chosen = rows.where(draw < min(1.0, SAMPLE / n)).orderBy(F.xxhash64("id"), "id", "v").limit(2 * SAMPLE).select("v").toArrow()["v"].combine_chunks()
         sample = unit(matrix(chosen, dim)) if len(chosen) else np.eye(1, dim)
         c = self.centroids = centroids(sample, min(CENTROIDS, math.ceil(math.sqrt(n))))
-        self.visits, turn = visits(sample, c, k), rotation(dim)
-        self.turn = turn
+        self.sample, self.fitted = sample, {}
+        self.turn = turn = rotation(dim)
 
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -159,12 +159,18 @@ class Part:
         self.table = work.table(f"index{dim}", coded)
         self.work = work
 
+    def visits(self, k: int) -> int:
+        """Cells that a query visits for k neighbours, fitted once a k."""
+        if k not in self.fitted:
+            self.fitted[k] = visits(self.sample, self.centroids, k)
+        return self.fitted[k]
+
     def candidates(self, queries: DataFrame, k: int, bound: float) -> DataFrame:
         """(query_id, vec_id, score): what each task found to be among a query's k nearest in a visited cell.
 
         Cells are few, so their sizes may be broadcast. Large cells are dealt out over shares of their vectors and
         blocks of the queries that visit them, so that one that holds a third of all rows is no task of its own."""
-        dim, c, n_visits, mark = self.dim, self.centroids, self.visits, uuid.uuid4().hex
+        dim, c, n_visits, mark = self.dim, self.centroids, self.visits(k), uuid.uuid4().hex
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -13,8 +13,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one numpy step works on; a single longer text is one step of its own.
 SLICE_BYTES = 2 << 20
@@ -69,6 +70,25 @@ def release() -> None:
             _delete(spark, path)
 
 
+def set_aside(docs: DataFrame, used: tuple[str, ...]) -> DataFrame:
+    """The used columns, and all others in one column _rest, where no name of theirs can clash with ours."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*[c for c in docs.columns if c in used], *([F.struct(*rest).alias("_rest")] if rest else []))
+
+
+def restored(names: list[str], used: tuple[str, ...]) -> list[Column]:
+    """The columns of those names of a frame that set_aside made."""
+    return [F.col(c) if c in used else F.col("_rest")[c].alias(c) for c in names]
+
+
+def with_columns_by(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: T.StructType) -> DataFrame:
+    """docs with the columns that run puts behind those of its batches; only text is seen by its name, as others may have
+    names with dots, which functions over batches don't take."""
+    own = docs.drop(*added.names)
+    aside = set_aside(own, ("text",))
+    return aside.mapInArrow(tidy(run), T.StructType(aside.schema.fields + added.fields)).select(*restored(own.columns, ("text",)), *added.names)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,6 +15,8 @@ from .common import mix, partitions, powers, text_slices, tidy
 
 #: Least hashes that a fingerprint keeps; a text of fewer phrases keeps them all.
 KEPT = 128
+#: Ids a range, about, that are looked at to cut ranges; where they are cut doesn't change results.
+SAMPLED = 64
 
 
 def phrases(text: str, at: int = 0, seen: set[str] | None = None, cut: int | None = None) -> tuple[list[int], int]:
@@ -103,15 +105,17 @@ def next_to_each_other(docs: DataFrame) -> DataFrame:
     """doc_id, text and last, dealt so that a task holds neighbours in order: descending doc_id, null last, rows of
     one id by a hash of their text. The row behind a task's last comes along, marked last.
 
-    Ranges are cut at quantiles of the id; an id that fills more than a range, or null ids, are cut on by the hash of
-    the text. Only counts and the first row's key of each range reach the driver, and what is broadcast is bounded by
-    the number of ranges; texts are shuffled once. Rows equal in id and text follow each other in one range, through
+    Ranges are cut at ids of a sample, as longs; an id that fills more than a range, or null ids, are cut on by the hash
+    of the text. Only about SAMPLED ids a range, counts and the first row's key of each range reach the driver, and what
+    is broadcast is bounded by the number of ranges; texts are shuffled once. Rows equal in id and text follow each other in one range, through
     which texts stream."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = partitions(spark)
-    cuts = sorted(set(rows.select("doc_id").approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    bounds = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    known = rows.select("doc_id").where("doc_id IS NOT NULL")
+    ids = sorted(r[0] for r in known.sample(min(1.0, SAMPLED * parts / max(1, known.count())), seed=1).collect())
+    cuts = sorted({ids[len(ids) * i // parts] for i in range(1, parts)}) if ids else []
+    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]).cast("array<bigint>")
     # How many cuts a row's id doesn't exceed, null ids last; a range's greatest id is its cut, which comes first and is
     # the one that can fill it. Both are read off once a row, in a function of that number.
     place = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda c: c >= F.col("doc_id")))).cast("int")
@@ -129,8 +133,8 @@ def next_to_each_other(docs: DataFrame) -> DataFrame:
     deep = lambda m: F.least(F.floor((F.col("_tie") / F.lit(2.0**64) + 0.5) * m).cast("int"), m - 1)
     part = F.get(F.transform(F.array(place), lambda p: F.get(first, p) + F.when(full(p), deep(F.get(pieces, p))).otherwise(F.get(pieces, p))), F.lit(0))
     keyed = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_part", part)
-    firsts = keyed.groupBy("_part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("empty"), (-F.col("doc_id")).alias("down"), F.col("_tie").alias("tie"))).alias("f"))
-    found = sorted((r["_part"], -r["f"]["down"] if r["f"]["down"] is not None else None, r["f"]["tie"]) for r in firsts.collect())
+    firsts = keyed.groupBy("_part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("empty"), F.bitwise_not("doc_id").alias("down"), F.col("_tie").alias("tie"))).alias("f"))
+    found = sorted((r["_part"], ~r["f"]["down"] if r["f"]["down"] is not None else None, r["f"]["tie"]) for r in firsts.collect())
     heads = [(found[i - 1][0], doc_id, tie) for i, (_, doc_id, tie) in enumerate(found)]
     heads_df = spark.createDataFrame(heads, "_to int, _id long, _t long")
     last = keyed.join(F.broadcast(heads_df), keyed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))).dropDuplicates(["_to"])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_train, text_slices, tidy
+from .common import is_train, text_slices, tidy, with_columns_by
 
 #: Labelled documents a language that the classifier is fitted on, about; the bound of the training sample.
 SAMPLE = 1000
@@ -172,7 +172,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     likeliest learned language, its calibrated probability, and rejected where that is below what calibration asks
     for or, from ENOUGH subwords on, where the subwords are rarer than any learned language has them. Ties go to the first language by code point. Whole texts are read, in slices of bounded size; an empty
     table gives none. Without any labelled document every text is und."""
-    own = docs.drop("lang_pred", "score", "rejected")
     letters = None if model is None else model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,5 +190,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "score", "rejected"])
 
-    schema = T.StructType(list(own.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return own.mapInArrow(tidy(run), schema)
+    return with_columns_by(docs, run, T.StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean"))

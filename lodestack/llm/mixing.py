@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, restored, set_aside
 
 #: Sources up to this many are broadcast after they were counted; more are joined by a salted shuffle.
 BROADCAST_SOURCES = 4096
@@ -78,5 +78,6 @@ def plan_mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
     """The mix itself: each document as often as plan_mix says, with the columns of docs."""
-    planned = plan_mix(docs, seed, **how).where("copies > 0")
-    return planned.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*docs.columns)
+    used = ("doc_id", "text", "source")
+    planned = plan_mix(set_aside(docs, used), seed, **how).where("copies > 0")
+    return planned.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*restored(docs.columns, used))

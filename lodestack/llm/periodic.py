@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, tidy
+from .common import text_slices, with_columns_by
 
 #: Words that a run must have, and how often its period must fit into it.
 LEAST, TIMES = 6, 4
@@ -166,8 +166,6 @@ def find(docs: DataFrame) -> DataFrame:
     into it, of LEAST words at least; of it, what follows the first p words goes. Null and empty texts have no words, no
     runs and an empty collapsed text; repeated rows are treated alike; all other columns stay. Whole texts are read, in
     slices of bounded size, and one longer text by itself. An empty table gives no rows."""
-    own = docs.drop("n_words", "runs", "collapsed")
-    names = [*own.columns, "n_words", "runs", "collapsed"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,10 +192,9 @@ def find(docs: DataFrame) -> DataFrame:
                 for t, r in every:
                     runs[t] = [dict(zip(("start", "length", "period"), x)) for x in r]
                 kind = pa.list_(pa.struct([(f, pa.int64()) for f in ("start", "length", "period")]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(before), pa.int64()), pa.array(runs, kind), joined], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(before), pa.int64()), pa.array(runs, kind), joined], names=[*part.schema.names, "n_words", "runs", "collapsed"])
 
-    schema = T.StructType(list(own.schema.fields)).add("n_words", "long").add("runs", T.ArrayType(RUN)).add("collapsed", "string")
-    return own.mapInArrow(tidy(run), schema)
+    return with_columns_by(docs, run, T.StructType().add("n_words", "long").add("runs", T.ArrayType(RUN)).add("collapsed", "string"))
 
 
 def candidates(counts: np.ndarray, offsets: np.ndarray) -> np.ndarray:

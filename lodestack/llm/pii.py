@@ -160,7 +160,7 @@ def tokens(text: str, spans: list[list[tuple[int, int]]]) -> list[tuple[str, boo
         while i < len(loose) and loose[i][3] <= hard.start():
             i += 1
         if (i == len(loose) or loose[i][2] >= hard.end()) and free(*hard.span()):
-            other.append(("", False, *hard.span(), hard[0][:64]))
+            other.append(("", False, *hard.span(), hard[0]))
     loose += other
     return out + loose
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, span_hashes, text_buffers, text_slices, tidy, word_spans
+from .common import SPACE, span_hashes, text_buffers, text_slices, tidy, with_columns_by, word_spans
 
 #: Words of a passage.
 PASSAGE = 64
@@ -244,7 +244,6 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     Only the text decides. Null and empty texts are one passage without n-grams; every passage of other texts is read,
     in slices of bounded size. Equal texts score alike to rounding. Without any label every score is 0.5. An empty
     table gives no rows."""
-    own = docs.drop("score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,5 +256,4 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 columns = [*part.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "score", "predicted"])
 
-    schema = T.StructType(list(own.schema.fields)).add("score", "double").add("predicted", "integer")
-    return own.mapInArrow(tidy(run), schema)
+    return with_columns_by(docs, run, T.StructType().add("score", "double").add("predicted", "integer"))

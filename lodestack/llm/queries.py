@@ -46,9 +46,9 @@ l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM d),
 w AS (SELECT *, len(regexp_extract_all(line, '[^ 	-
 ]+')) AS w FROM l),
 c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY pos) AS cum FROM w),
-f AS (SELECT s.doc_id, s.pos AS a, min(e.pos) AS b FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.pos >= s.pos AND e.cum - s.cum + s.w >= 3 GROUP BY ALL
+f AS (SELECT s.doc_id, s.pos AS a, min(e.pos) AS b FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.pos >= s.pos AND e.cum - s.cum + s.w >= 1 GROUP BY ALL
       UNION
-      SELECT e.doc_id, max(s.pos) AS a, e.pos AS b FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.pos >= s.pos AND e.cum - s.cum + s.w >= 3 GROUP BY e.doc_id, e.pos),
+      SELECT e.doc_id, max(s.pos) AS a, e.pos AS b FROM c s JOIN c e ON s.doc_id = e.doc_id AND e.pos >= s.pos AND e.cum - s.cum + s.w >= 1 GROUP BY e.doc_id, e.pos),
 k AS (SELECT f.doc_id, a, b, md5(array_to_string(ls[a + 1 : b + 1], chr(10))) AS content, b - a AS m FROM f JOIN d USING (doc_id)),
 e AS (SELECT *, row_number() OVER (PARTITION BY content, m ORDER BY doc_id, a) AS nth FROM k),
 g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS pos FROM e WHERE nth > 1),

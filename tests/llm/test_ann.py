@@ -37,7 +37,7 @@ def test_clusters_need_few_visits(clustered):
     x, vectors = clustered
     index = ann.Index(vectors)
     part = index.parts[24]
-    assert part.visits <= len(part.centroids) / 2
+    assert part.visits(5) <= len(part.centroids) / 2
     got = index.search(index.rows.where("id % 50 = 0")).collect()
     assert recall(x, got, range(0, 3000, 50)) >= 0.9
 

@@ -2,10 +2,12 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from lodestack.llm import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, pii, viterbi
+from lodestack.llm import ann, bpe, fingerprint, katz, langid, linededup, mixing, ngramjoin, periodic, pii, quality, viterbi
 
 BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -66,3 +68,32 @@ def test_vectors_that_take_no_part(spark):
     assert scores[0] == -1.0 and abs(scores[10] - 10 / 101**0.5) < 1e-15 and set(scores) == {0, 1, 8, 9, 10}
     none = ann.Index(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert none.search(none.rows).count() == 0
+
+
+@pytest.mark.parametrize("name", ["mix", "dedup", "langid", "quality", "periodic"])
+def test_columns_of_the_caller_stay(odd, name):
+    """Columns that clash with an operator's own names, and names with dots, come back as they were."""
+    run = {
+        "mix": mixing.mix, "dedup": linededup.dedup, "langid": lambda d: langid.predict(d, None), "quality": lambda d: quality.score(d, None), "periodic": periodic.find,
+    }[name]
+    own = {"mix": set(), "dedup": {"n_lines", "n_deleted"}, "langid": {"lang_pred", "score", "rejected"}, "quality": {"score", "predicted"}, "periodic": {"n_words", "runs", "collapsed"}}[name]
+    named = ["t1", "t2", "_id", "_t1", "_t2", "_lines", "_left", "_copy", "_bin", "_salt", "_source", "_draw", "rate", "target", "source_size", "copies", "size", "gone", "a.b", "k"]
+    wide = odd.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in named])
+    rows = run(wide).collect()
+    assert rows and set(rows[0].asDict()) == set(wide.columns) | own
+    for r in rows:
+        assert all(r[n] == (f"{n} {r['doc_id']}" if r["doc_id"] is not None else None) for n in named if n not in own)
+
+
+def test_other_counts_of_neighbours(spark):
+    """Cells to visit are fitted for the number of neighbours that is asked for."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(3000, 24))
+    index = ann.Index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>"))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for k in (5, 40):
+        found = {}
+        for r in index.search(index.rows.where("id % 30 = 0"), k=k).collect():
+            found.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = [len(found[q] & set(np.argsort(-(unit @ unit[q]), kind="stable")[1 : k + 1].tolist())) / k for q in range(0, 3000, 30)]
+        assert np.mean(hits) >= 0.9
