@@ -26,20 +26,26 @@ def phrases(text: str, at: int = 0, seen: set[str] | None = None, cut: int | Non
     length of the last phrase is a good first guess. With cut, only phrases that end there or before are taken."""
     seen = set() if seen is None else seen
     n, size, starts = len(text) if cut is None else cut, 1, []
+    add, append = seen.add, starts.append
     while at < n:
-        size = min(size, n - at)
-        if text[at : at + size] in seen:
-            size += 1
-            while at + size <= n and text[at : at + size] in seen:
-                size += 1
-            if at + size > n:
+        end = at + size
+        if end > n:
+            end = n
+        phrase = text[at:end]
+        if phrase in seen:
+            while end < n:
+                end += 1
+                phrase = text[at:end]
+                if phrase not in seen:
+                    break
+            else:
                 break  # what is left is known: no new phrase
         else:
-            while size > 1 and text[at : at + size - 1] not in seen:
-                size -= 1
-        seen.add(text[at : at + size])
-        starts.append(at)
-        at += size
+            while size > 1 and (shorter := text[at : end - 1]) and shorter not in seen:
+                phrase, end = shorter, end - 1
+        add(phrase)
+        append(at)
+        size, at = end - at, end
     return starts, at
 
 
@@ -57,12 +63,13 @@ def signature(text: str, starts: list[int], end: int) -> np.ndarray:
     return np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:KEPT]
 
 
-def parse(text: str, cut: int) -> tuple[list[int], int, int]:
-    """Phrase starts and end of a text, and how many phrases end at cut or before."""
+def parse(text: str, cut: int) -> tuple[list[int], int, int, set[str]]:
+    """Phrase starts and end of a text; how many phrases end at cut or before, and which."""
     seen: set[str] = set()
     starts, at = phrases(text, 0, seen, cut)
+    kept = seen.copy()
     more, end = phrases(text, at, seen)
-    return starts + more, end, len(starts)
+    return starts + more, end, len(starts), kept
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -79,22 +86,25 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def _compare(doc_id: int | None, text: str, nxt: str, own: tuple) -> tuple[tuple, tuple]:
     """A result row of a document, and what was parsed of the next one."""
-    starts, end, inside, signed = own
+    starts, end, inside, signed, seen = own
     n = len(text)
     keep = n - n // 2
     edited = text[:keep] + nxt[: n // 2]
     at = starts[inside] if inside < len(starts) else end
-    seen = {text[a:b] for a, b in zip(starts[:inside], [*starts[1:inside], at])}
     more, edited_end = phrases(edited, at, seen)
     edited_signed = signature(edited, starts[:inside] + more, edited_end)
-    following = fingerprinted(nxt)
+    following = _parsed(nxt)
     row = (doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), signed.astype(">u4").tobytes().hex(), edited_signed.astype(">u4").tobytes().hex(), likeness(signed, edited_signed), likeness(signed, following[3]))
     return row, following
 
 
 def fingerprinted(text: str) -> tuple[list[int], int, int, np.ndarray]:
-    starts, end, inside = parse(text, len(text) - len(text) // 2)
-    return starts, end, inside, signature(text, starts, end)
+    return _parsed(text)[:4]
+
+
+def _parsed(text: str) -> tuple[list[int], int, int, np.ndarray, set[str]]:
+    starts, end, inside, kept = parse(text, len(text) - len(text) // 2)
+    return starts, end, inside, signature(text, starts, end), kept
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -160,7 +170,7 @@ def compare_neighbours(docs: DataFrame) -> DataFrame:
                     if last and before is None:
                         continue  # more rows with the key of the next range's first
                     if before is None:
-                        before = doc_id, text, fingerprinted(text)
+                        before = doc_id, text, _parsed(text)
                         continue
                     row, following = _compare(*before[:2], text, before[2])
                     out.append(row)

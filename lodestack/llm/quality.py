@@ -104,7 +104,7 @@ class Model:
 
     def encode(self, body: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A row for each passage, which begin at at: tanh of the mean embedding of its n-grams."""
-        total, marked, sums = np.zeros((len(at), WIDTH)), marks(body, at), np.zeros(len(body) + 1, np.int8)
+        total, marked, sums = np.zeros((len(at), WIDTH), np.float32), marks(body, at), np.zeros(len(body) + 1, np.int8)
         sums[at] += 1  # bytes of passages are 1, blanks behind texts 0
         np.subtract.at(sums, ends, 1)
         real = np.cumsum(sums)[:-1] > 0
@@ -183,7 +183,7 @@ def fit(bags: list[tuple[int, list[np.ndarray]]], epochs: int = 8, rate: float =
             else:
                 step(0, g, at)
             step(1, h.T @ dt), step(2, h.T @ ds), step(3, (t * s).T @ da), step(4, err * m), step(5, np.array([err]))
-    model = Model(w[0], w[1], w[2], w[3], w[4], float(w[5][0]))
+    model = Model(w[0].astype(np.float32), w[1], w[2], w[3], w[4], float(w[5][0]))
     hidden = [np.tanh(np.array([n[a:b] @ model.table[at[a:b]] for a, b in zip(first, first[1:])])) for _, at, n, first in held]
     p = model.scores(np.concatenate(hidden), np.append(0, np.cumsum([len(h) for h in hidden])))
     z, truth = np.log(np.clip(p, 1e-12, 1) / np.clip(1 - p, 1e-12, 1)), np.array([e[0] for e in held])

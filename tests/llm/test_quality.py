@@ -33,7 +33,7 @@ def test_one_text_scores_alike_in_any_company(model):
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("ab cde  F.\n$é"), n)) for n in (0, 1, 7, 3000, 200_000)] + ["x" * 300_000, "", " ", "word " * 65]
     alone = np.concatenate([probabilities(model, [t]) for t in texts])
-    assert np.allclose(alone, probabilities(model, texts), atol=1e-9)
+    assert np.allclose(alone, probabilities(model, texts), atol=1e-5)
 
 
 def test_passages_cover_whole_texts():
