@@ -137,7 +137,7 @@ class Reader(HTMLParser):
         shown = data.strip()
         if shown and self.unseen is not None:
             self.unseen = None
-            before = "".join(self.open)
+            before = ending(self.open)
             if before.strip() and before == before.rstrip(" \t\n" + BREAK) and shown[0].isupper():
                 if before.endswith(CLOSING):
                     self.open.append(BREAK)
@@ -152,6 +152,15 @@ class Reader(HTMLParser):
         return re.sub(r"\n{3,}", "\n\n", "".join(self.out)).strip()
 
 
+def ending(pieces: list[str], least: int = 80) -> str:
+    """The last pieces together, as many as have least characters: what a longer text ends with."""
+    n, at = 0, len(pieces)
+    while at and n < least:
+        at -= 1
+        n += len(pieces[at])
+    return "".join(pieces[at:])
+
+
 def to_text(markup: str | None) -> str:
     """Text of markup: blocks with a blank line between, items as `- ` or `1. ` lines that nesting indents, single
     breaks as line ends and double ones as blank lines. What elements part isn't fused: a label or sentence and the

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +50,11 @@ def strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def wording(phrases, gap: str = r"[-\s]+") -> str:
+    """A pattern of plain phrases, the longest first; where one has a blank, a text may have gap."""
+    return "(?:" + "|".join(gap.join(re.escape(w) for w in p.split(" ")) for p in sorted(phrases, key=len, reverse=True)) + ")"
+
+
 def lookup(c, table: dict[str, str]) -> Column:
     """The value of a key in a fixed table, else null."""
     pairs = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])

@@ -185,15 +185,15 @@ def places_in_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'Full Time, Exempt' WHEN 'A' THEN 'Part Time' ELSE 'Not Specified' END AS employment,
-       CASE WHEN l_linestatus = 'F' THEN 'At Least ' ELSE '' END || l_linenumber || CASE WHEN l_linenumber = 1 THEN ' Day' ELSE ' Days' END || ' Per Week' AS cadence FROM lineitem WHERE l_linenumber <= 5
+       CASE WHEN l_linestatus = 'F' THEN 'At Least ' ELSE '' END || (l_linenumber - 1) % 5 + 1 || CASE WHEN (l_linenumber - 1) % 5 = 0 THEN ' Day' ELSE ' Days' END || ' Per Week' AS cadence FROM lineitem
 """)
 def working_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FN20, FN21: employment and attendance that lines of orders state, in readable form."""
     flag = F.col("l_returnflag")
     said = F.when(flag == "R", "FullTime").otherwise("")
     body = F.when(flag == "R", "a full time, exempt role").when(flag == "A", "This is a part-time position").otherwise("we work full-time on fun")
-    days = cat(F.when(F.col("l_linestatus") == "F", "at least ").otherwise(""), text("l_linenumber"), " days per week")
-    return read(spark, sf_dir, "lineitem").where("l_linenumber <= 5").select("l_orderkey", "l_linenumber", miners.employment(said, body).alias("employment"), miners.format_cadence(days).alias("cadence"))
+    days = cat(F.when(F.col("l_linestatus") == "F", "at least ").otherwise(""), ((F.col("l_linenumber") - 1) % 5 + 1).cast("string"), " days per week")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", miners.employment(said, body).alias("employment"), miners.format_cadence(days).alias("cadence"))
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Greenhouse' WHEN 1 THEN 'Workable (Embedded)' ELSE event_type END AS shown FROM events")
