@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import boards
-from .registry import query, read
+from ..operators import boards, titles
+from .registry import literal, query, read
 
 HEX = "md5(concat('j', {0}))"
 UUID = "concat_ws('-', substring({h}, 1, 8), substring({h}, 9, 4), substring({h}, 13, 4), substring({h}, 17, 4), substring({h}, 21, 12))"
@@ -55,3 +55,32 @@ def embedded_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = o.selectExpr("o_orderkey", f"concat('https://', {_kind(0)}) AS url", f"{title} AS title", f"{_kind(1)} AS html", f"{body} AS text")
     each = o.selectExpr("explode(array(concat('brand', o_custkey), concat('other', o_custkey))) AS board", "1000000 + o_orderkey AS job_id", "concat('Senior Analyst ', o_custkey) AS title", "o_orderkey % 8 AS kind")
     return boards.recover(pages, each.where("kind <> 7"), "o_orderkey")
+
+
+# what pages say: the title with the site's name behind it, the site's name alone, a heading, a heading on every page
+KINDS_SAID = ["title", "heading", "line"]
+SAID = "VALUES " + ", ".join(f"({i}, {literal(k)})" for i, k in enumerate(KINDS_SAID))
+EVIDENCE = """
+  CASE kind WHEN 'title' THEN CASE page_id % 4 WHEN 0 THEN concat(own, ' | Site ', host) WHEN 1 THEN concat('Site ', host) WHEN 2 THEN concat('Careers at ', host) ELSE concat('Jobs', ' - ', own, ' — Team ', page_id, ' | site ', host) END
+            WHEN 'heading' THEN CASE page_id % 3 WHEN 0 THEN concat('Welcome · ', 'Site ', host) ELSE concat(own, ' · Site ', host) END
+            ELSE CASE page_id % 5 WHEN 0 THEN 'Open Roles' ELSE concat('Join ', host) END END"""
+OWN = "substring(concat('Role ', replace(replace(replace(replace(url, '|', ''), '-', ''), '?', ''), '#', '')), 1, 60)"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, {OWN} AS own FROM pages),
+e AS (SELECT page_id, host, rank, {EVIDENCE} AS text FROM p, (SELECT * FROM ({SAID}) AS t(rank, kind))),
+s AS (SELECT page_id, host, rank, unnest(range(len(ps))) AS pos, unnest(ps) AS part FROM (SELECT page_id, host, rank, list_filter(list_transform(string_split_regex(text, '\\s+[|·•–—-]\\s+|\\s*[|·•]\\s*'), lambda x: trim(x)), lambda x: x <> '') AS ps FROM e)),
+k AS (SELECT * FROM s WHERE lower(part) NOT IN ({", ".join(literal(c) for c in titles.CHROME)}) AND NOT ({" OR ".join(f"starts_with(lower(part), {literal(c)})" for c in titles.PREFIXES)})),
+n AS (SELECT host, lower(part) AS low, count(DISTINCT page_id) AS n FROM k GROUP BY ALL),
+h AS (SELECT host, count(DISTINCT page_id) AS pages FROM p GROUP BY host),
+x AS (SELECT n.host, low FROM n JOIN h USING (host) WHERE n >= 3 AND 2 * n > pages),
+o AS (SELECT * FROM k WHERE (host, lower(part)) NOT IN (SELECT host, low FROM x)),
+r AS (SELECT page_id, rank, string_agg(part, ' - ' ORDER BY pos) AS role FROM o GROUP BY ALL)
+SELECT page_id, arg_min(role, rank) AS role, min(rank)::INT AS rank FROM r GROUP BY page_id
+""".replace("\\\\", "\\"))
+def recovered_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ05: the role that each page's titles, headings and lines name, once what its host's pages share is taken off."""
+    pages = read(spark, sf_dir, "pages").selectExpr("page_id", "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host", f"{OWN} AS own")
+    said = pages.select("*", F.posexplode(F.array(*[F.lit(k) for k in KINDS_SAID])).alias("rank", "kind"))
+    return titles.recover_roles(said.selectExpr("page_id", "host", "rank", f"{EVIDENCE} AS text"), "page_id")
