@@ -109,6 +109,16 @@ def bound_batches(limit: int = BATCH_BYTES) -> None:
         spark.conf.set(BATCH_SETTING, str(limit))
 
 
+def give_back() -> None:
+    """Empties caches and returns freed memory to the system: workers outlive tasks, and a driver its models' training."""
+    for forget in KEPT:
+        forget()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run over bounded batches; what a task has kept or freed goes back to the system, as workers outlive their tasks."""
     bound_batches()
@@ -117,12 +127,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            for forget in KEPT:
-                forget()
-            pa.default_memory_pool().release_unused()
-            libc = ctypes.CDLL(None)
-            if hasattr(libc, "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return wrapped
 

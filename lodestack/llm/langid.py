@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_train, text_slices, tidy, with_columns_by
+from .common import give_back, is_train, text_slices, tidy, with_columns_by
 
 #: Labelled documents a language that the classifier is fitted on, about; the bound of the training sample.
 SAMPLE = 1000
@@ -162,7 +162,10 @@ def training_rows(docs: DataFrame, skip: int = 0, sample: int = SAMPLE, seed: in
 
 
 def train(docs: DataFrame, skip: int = 0, sample: int = SAMPLE) -> Model | None:
-    return fit(training_rows(docs, skip, sample))
+    try:
+        return fit(training_rows(docs, skip, sample))
+    finally:
+        give_back()
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

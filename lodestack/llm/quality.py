@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, span_hashes, text_buffers, text_slices, tidy, with_columns_by, word_spans
+from .common import SPACE, give_back, span_hashes, text_buffers, text_slices, tidy, with_columns_by, word_spans
 
 #: Words of a passage.
 PASSAGE = 64
@@ -231,8 +231,12 @@ def training_bags(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, spre
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    bags, prior = training_bags(docs, labels, sample)
-    model = fit(bags)
+    try:
+        bags, prior = training_bags(docs, labels, sample)
+        model = fit(bags)
+        del bags
+    finally:
+        give_back()
     if model is not None:
         model.prior = prior
     return model
