@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +38,25 @@ def numbered(rows: DataFrame, order: list[Column | str], name: str) -> DataFrame
         total += sizes[p]
     before = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0)
     return placed.withColumn(name, (before + F.col("_at") + 1).cast("long")).drop("_part", "_at")
+
+
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, deleted when the driver ends."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(found or f'file://{tempfile.gettempdir()}/lodestack-checkpoints').rstrip('/')}/lodestack-{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
+
+
+@atexit.register
+def _release() -> None:
+    while _MADE:
+        spark, path = _MADE.pop()
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -56,6 +56,33 @@ def normalize(rows: DataFrame, place: dict | None = None) -> DataFrame:
     return out
 
 
+def cell_changes(rows: DataFrame, fixes: dict[str, Column], key: list[str]) -> DataFrame:
+    """(key…, column, old, new): a row for each cell of rows that fixes change, as text; nothing is shuffled."""
+    cells = [F.when(~F.col(f"`{c}`").eqNullSafe(v), F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("old"), v.cast("string").alias("new"))) for c, v in fixes.items() if c in rows.columns]
+    none = F.array().cast("array<struct<column:string,old:string,new:string>>")
+    return rows.select(*key, F.explode(F.array_compact(F.array(*cells)) if cells else none).alias("c")).select(*key, "c.*")
+
+
+def rewrite_changed(spark: SparkSession, path: str, part: str, fixes: dict[str, Column]) -> int:
+    """Puts fixes into the table at path, which is partitioned by the column part; gives the number of cells changed.
+
+    Only partitions that hold a changed cell are written again, from all their rows; without one no file is touched.
+    The new rows are written beside the table and take the old ones' place when all tasks are done, so a lost executor
+    costs its tasks alone. fixes can't change part itself. Rows with a null part are a partition as well."""
+    if part in fixes:
+        raise ValueError("a cell that names its row's partition can't be rewritten in place")
+    rows = spark.read.parquet(path)
+    counts = cell_changes(rows, fixes, [part]).groupBy(part).agg(F.count("*").alias("n"))
+    touched = {r[part]: r["n"] for r in counts.collect()}  # a row a partition, as many as folders
+    if not touched:
+        return 0
+    named = F.col(part).isin([v for v in touched if v is not None])
+    here = F.coalesce(named, F.lit(False)) | F.col(part).isNull() if None in touched else named
+    fixed = rows.where(here).withColumns({c: v.cast(rows.schema[c].dataType) for c, v in fixes.items() if c in rows.columns})
+    fixed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    return sum(touched.values())
+
+
 def update_rows(rows: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """rows with the cells that updates give for their key; missing columns are made, null cells leave what stands."""
     names = [c for c in updates.columns if c != key]

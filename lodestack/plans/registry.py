@@ -54,4 +54,4 @@ def values(rows: list[tuple], columns: str) -> str:
     return f"(SELECT * FROM (VALUES {body}) AS t({columns}))"
 
 
-from . import artifacts, captures, gates, log, matching, mining, normalizers, recovery, revisions, scoring, sources, tables, whole, writing  # noqa: E402,F401  they register themselves
+from . import artifacts, captures, gates, landing, log, matching, mining, normalizers, recovery, revisions, scoring, sources, tables, whole, writing  # noqa: E402,F401  they register themselves
