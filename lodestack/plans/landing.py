@@ -92,7 +92,7 @@ SELECT CASE WHEN doc_id % 3 = 0 THEN '01-05-24' WHEN doc_id % 3 = 1 THEN '01-06-
   count(*) AS n, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS n_chars, count(*) AS told FROM documents GROUP BY ALL
 """)
 def published_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK03, SRC20, SRC21: all documents written as three batches and read back, beside tries that stopped half way,
+    """SNK03: all documents written as three batches and read back, beside tries that stopped half way,
     with the counts that manifests tell."""
     root = new_folder(spark, "batches")
     status = F.when(F.coalesce("text", F.lit("")) == "", "failed").when(F.length("text") < 200, "thin").otherwise("usable")
