@@ -28,7 +28,8 @@ def locate(rows: DataFrame, listing: DataFrame, key: str, name: str = "name", ba
     the name as given alone, and nothing is searched above a base of one part. '.' and '..' aren't resolved.
 
     A file answers for its path and for its last part in each folder above it, so every place is an equality and a
-    path is written once a folder of its depth. One join and one grouping, no comparison of parts of texts."""
+    path is written once a folder of its depth. One join and one grouping, no comparison of parts of texts. Both sides
+    are dealt out: what is exploded is judged by its size before, so the index would be sent whole through the driver."""
     path = F.col("path")
     files = listing.select("path").where("path IS NOT NULL").distinct()
     parts = F.split(path, "/")
@@ -48,7 +49,7 @@ def locate(rows: DataFrame, listing: DataFrame, key: str, name: str = "name", ba
               ("below", own, short), ("below", F.nullif(above, F.lit("")), short), ("folder", _below(above, F.lit(source[0])), F.lit(""))]
     asked = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"), F.when(F.lit(i == 0) | own.isNotNull(), a).alias("at"), w.alias("what")) for i, (k, a, w) in enumerate(probes)])
     tried = rows.where(given != "").select(F.col(key), F.explode(asked).alias("p")).select(key, "p.*")
-    met = tried.join(index, ["kind", "at", "what"]).groupBy(key).agg(
+    met = tried.join(index.hint("merge"), ["kind", "at", "what"]).groupBy(key).agg(
         F.min(F.when(F.col("rank") < 5, F.struct("rank", "path"))).alias("near"), F.min(F.when(F.col("rank") == 5, F.struct("rank", "path"))).alias("far"), F.max(F.col("rank") == 6).alias("root")
     )
     best = F.coalesce("near", F.when(F.col("root"), F.col("far")))

@@ -57,6 +57,13 @@ def _located(name, base, paths, source=("sources", "captures")):
     return None
 
 
+def test_index_of_files_is_dealt_out(spark):
+    rows = spark.createDataFrame([(1, "a.txt", "b/rank")], "id int, name string, base string")
+    found = locate.locate(rows, spark.createDataFrame([("b/rank/a.txt",)], "path string"), "id")
+    assert [tuple(r) for r in found.collect()] == [(1, "b/rank/a.txt", 1)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_locate_is_the_walk(spark):
     rng = random.Random(6)
     folder = lambda: "/".join(rng.choice(["a", "b", "sources", "captures", "rank"]) for _ in range(rng.randint(0, 4)))
