@@ -12,6 +12,15 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Letters whose capital is written as several, each with its one-letter capital; those without one stand for themselves.
+CAPITALS = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0xDF, 0xFB18)) if not "\ud800" <= c <= "\udfff" and len(c.upper()) > 1}
+
+
+def upper_letter(c) -> Column:
+    """A letter's capital as one letter: ß to ẞ, where upper() writes SS."""
+    return F.coalesce(lookup(c, CAPITALS), F.upper(col(c)))
+
+
 def strip(c, chars: str = r"\s") -> Column:
     """Without leading and trailing characters of a class; null is empty."""
     if chars == r"\s":
@@ -111,8 +120,8 @@ def oxford_join(items) -> Column:
 
 
 def repair_fusion(c) -> Column:
-    """`orNew` to `or New`."""
-    return F.regexp_replace(col(c), r"\b(or|and|of)(?=[A-Z][a-z])", "$1 ")
+    """`orNew` to `or New`; what stands before is no ASCII letter, digit or underscore."""
+    return F.regexp_replace(col(c), r"(?<![A-Za-z0-9_])(or|and|of)(?=[A-Z][a-z])", "$1 ")
 
 
 def title_tokens(c, stop) -> Column:

@@ -66,6 +66,11 @@ def test_columns(spark, f, given, expected):
     assert apply(spark, f, given) == expected
 
 
+def test_capital_of_one_letter(spark):
+    assert apply(spark, T.upper_letter, ["ß", "é", "ŉ", "ᾀ", "x", "", None]) == ["ẞ", "É", "ŉ", "ᾈ", "X", "", None]
+    assert apply(spark, T.repair_fusion, ["éorNew xorNew _ofNew (orNew"]) == ["éor New xorNew _ofNew (or New"]
+
+
 def test_oxford_join(spark):
     rows = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "c"],)], "a array<string>")
     assert [r[0] for r in rows.select(T.oxford_join("a")).collect()] == ["", "a", "a and b", "a, b, and c"]
