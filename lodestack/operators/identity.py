@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.text import chain, col, first, first_line, has, prettify_slug, slug, strings, strip, strip_html
+from ..functions.text import bound, chain, col, filled, first, first_line, has, prettify_slug, slug, strings, strip, strip_html
 
 UUID = r"([0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})"
 SHAPE = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -130,31 +130,42 @@ WRAPPED = [(r"(?i)^(?:careers?|jobs?)\s+at\s+", ""), (r"(?i)[\s|·]+(?:careers?|
 
 def clean_company(name) -> Column:
     """A company without what careers pages put around it; a name of small letters that came out is capitalised."""
-    raw = F.trim(F.regexp_replace(F.coalesce(col(name), F.lit("")), r"\s+", " "))
-    made = F.trim(F.regexp_replace(chain(raw, *(WRAPPED * 3)), r"\s+", " "))
-    return F.when((made != "") & (made != raw) & ~made.rlike("[A-Z]"), prettify_slug(made)).otherwise(made)
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+
+    def clean(raw: Column) -> Column:
+        return bound(tidy(chain(raw, *(WRAPPED * 3))), lambda made: F.when((made != "") & (made != raw) & ~made.rlike("[A-Z]"), prettify_slug(made)).otherwise(made))
+
+    return bound(tidy(F.coalesce(col(name), F.lit(""))), clean)
 
 
 def title_and_brand(title) -> Column:
     """A title without its site's branding, and the employer that the branding names."""
-    s = F.trim(F.regexp_replace(F.coalesce(col(title), F.lit("")), r"\s+", " "))
     sep = r"\s*[|–—·-]\s*"
     at = rf"(?i)^(.+?){sep}(?:careers?|jobs?)\s+at\s+([^|–—·-]+?)\s*$"
     co = rf"(?i)^(.+?){sep}([^|–—·-]+?)\s+(?:careers?|jobs?)\s*$"
     bare = rf"(?i)^(.+?){sep}(?:careers?|jobs?)\s*$"
-    found = F.coalesce(first(s, at), first(s, co), first(s, bare), s)
-    brand = clean_company(F.coalesce(first(s, at, 2), first(s, co, 2)))
-    return F.struct(strip(found, r"\s|·:,–—-").alias("title"), F.when((brand != "") & ~has(brand, r"(?i)\b(careers?|jobs?)\b"), brand).alias("brand"))
+
+    def parted(s: Column) -> Column:
+        found = F.coalesce(first(s, at), first(s, co), first(s, bare), s)
+        brand = bound(clean_company(F.coalesce(first(s, at, 2), first(s, co, 2))), lambda b: F.when((b != "") & ~has(b, r"(?i)\b(careers?|jobs?)\b"), b))
+        return F.struct(strip(found, r"\s|·:,–—-").alias("title"), brand.alias("brand"))
+
+    return bound(F.trim(F.regexp_replace(F.coalesce(col(title), F.lit("")), r"\s+", " ")), parted)
 
 
 def declared_name(html, organization=None) -> Column:
     """How an employer's page spells the employer: the organisation of its posting, its site's name, else what its title
     wraps around the role; null where it declares none."""
-    site = F.coalesce(first(html, r"""(?is)<meta[^>]*og:site_name["'][^>]*content=["']([^"']*)"""), first(html, r"""(?is)<meta[^>]*content=["']([^"']*)["'][^>]*og:site_name"""))
-    title = F.trim(F.regexp_replace(strip_html(first(html, r"(?is)<title[^>]*>(.*?)</title>")), r"\s+", " "))
-    alone = first(title, r"(?i)^(?:careers?|jobs?)\s+at\s+(.+)$")
-    given = [F.nullif(F.trim(F.regexp_replace(strip_html(c), r"\s+", " ")), F.lit("")) for c in ([col(organization)] if organization is not None else []) + [site, alone]]
-    return F.coalesce(*given, title_and_brand(title)["brand"])
+    plain = lambda c: F.trim(F.regexp_replace(strip_html(c), r"\s+", " "))
+    own = [filled(plain(organization))] if organization is not None else []
+
+    def declared(h: Column) -> Column:
+        site = F.coalesce(first(h, r"""(?is)<meta[^>]*og:site_name["'][^>]*content=["']([^"']*)"""), first(h, r"""(?is)<meta[^>]*content=["']([^"']*)["'][^>]*og:site_name"""))
+        title = plain(first(h, r"(?is)<title[^>]*>(.*?)</title>"))
+        told = lambda t: F.coalesce(filled(plain(first(t, r"(?i)^(?:careers?|jobs?)\s+at\s+(.+)$"))), title_and_brand(t)["brand"])
+        return F.coalesce(*own, filled(plain(site)), bound(title, told))
+
+    return bound(col(html), declared)
 
 
 def apply_url(url) -> Column:
@@ -181,9 +192,12 @@ def workday_endpoint(url) -> Column:
 
 def route(url) -> Column:
     """The adapter that reads an address: by host, or by a parameter that names a posting; null for plain pages."""
-    h = F.lower(part(url, 2))
     by_host = {"ashbyhq.com": "ashby", "greenhouse.io": "greenhouse", "lever.co": "lever", "rippling.com": "rippling", "workable.com": "workable", "myworkdayjobs.com": "workday", "linkedin.com": "linkedin"}
-    out = F.when(F.lit(False), "")
-    for suffix, name in by_host.items():
-        out = out.when((h == suffix) | h.endswith("." + suffix), name)
-    return out.when(has(part(url, 4), r"(?:^|&)ashby_jid="), "ashby_jid")
+
+    def routed(h: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for suffix, name in by_host.items():
+            out = out.when((h == suffix) | h.endswith("." + suffix), name)
+        return out
+
+    return bound(col(url), lambda u: F.coalesce(bound(F.lower(part(u, 2)), routed), F.when(has(part(u, 4), r"(?:^|&)ashby_jid="), "ashby_jid")))

@@ -77,6 +77,18 @@ def test_open_references_stay(spark):
     assert apply(spark, lambda c: structured_text(closed_references(c)), given) == ["a&b&amp", "<x&gt '&#39 R&D", ""]
 
 
+@pytest.mark.parametrize(
+    ("f", "most"),
+    [
+        (identity.declared_name, 20_000), (lambda c: places.location_color(places.normalize_location(c, N.PLACE), N.PLACE), 40_000),
+        (lambda c: T.prettify_slug(T.prettify_slug(T.prettify_slug(c))), 5_000), (lambda c: identity.route(T.prettify_slug(c)), 8_000),
+    ],
+)
+def test_what_is_used_again_is_computed_once(spark, f, most):
+    rows = spark.createDataFrame([("x",)], "t string").select(f(F.col("t")).alias("r"))
+    assert len(rows._jdf.queryExecution().analyzed().toString()) < most
+
+
 def test_oxford_join(spark):
     rows = spark.createDataFrame([([],), (["a"],), (["a", "b"],), (["a", "b", "c"],)], "a array<string>")
     assert [r[0] for r in rows.select(T.oxford_join("a")).collect()] == ["", "a", "a and b", "a, b, and c"]
