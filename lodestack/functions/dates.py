@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, has, strip
+from .text import bound, col, has, strip
 
 
 def posting_date(value) -> Column:
     """A plain date of an ISO date or timestamp (its offset isn't applied) or of epoch seconds or milliseconds."""
-    s = strip(value)
-    epoch = s.try_cast("double")
-    seconds = F.when(epoch > 1e11, epoch / 1000).otherwise(epoch)
-    from_epoch = F.when(epoch > 0, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd"))
-    iso = F.date_format(F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"), "yyyy-MM-dd")
-    return F.when(s.rlike(r"^\d{10,13}$"), from_epoch).when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), iso)
+
+    def dated(s: Column) -> Column:
+        epoch = s.try_cast("double")
+        seconds = F.when(epoch > 1e11, epoch / 1000).otherwise(epoch)
+        from_epoch = F.when(epoch > 0, F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd"))
+        iso = F.date_format(F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"), "yyyy-MM-dd")
+        return F.when(s.rlike(r"^\d{10,13}$"), from_epoch).when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), iso)
+
+    return bound(strip(value), dated)
 
 
 def capture_date(raw) -> Column:
