@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import boards, titles
-from .registry import literal, query, read
+from .registry import literal, query, read, spread
 
 HEX = "md5(concat('j', {0}))"
 UUID = "concat_ws('-', substring({h}, 1, 8), substring({h}, 9, 4), substring({h}, 13, 4), substring({h}, 17, 4), substring({h}, 21, 12))"
@@ -16,6 +16,11 @@ def uuid(what: str) -> str:
     return UUID.format(h=HEX.format(what))
 
 
+def uuid_once(what: str) -> str:
+    """The same with one digest, not five, for expressions that run here."""
+    return f"regexp_replace({HEX.format(what)}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '$1-$2-$3-$4-$5')"
+
+
 @query(f"""
 WITH f AS (SELECT 'org' || l_orderkey AS org, {uuid("l_orderkey || '-' || l_linenumber")} AS id, 'Role ' || min(l_returnflag) AS title FROM lineitem GROUP BY l_orderkey, l_linenumber),
 p AS (SELECT o_orderkey, 'org' || o_orderkey AS org, {uuid("o_orderkey || '-' || (1 + o_custkey % 4)")} AS id FROM orders WHERE o_custkey % 3 > 0)
@@ -23,9 +28,9 @@ SELECT o_orderkey, org, id AS posting_id, title FROM p JOIN f USING (org, id)
 """)
 def feed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC03: postings of all orders' addresses in feeds of all lines, ids in capitals there; every third has no id."""
-    lines = read(spark, sf_dir, "lineitem").selectExpr("concat('org', l_orderkey) AS org", f"upper({uuid('concat(l_orderkey, \"-\", l_linenumber)')}) AS id", "concat('Role ', l_returnflag) AS title")
+    lines = read(spark, sf_dir, "lineitem").selectExpr("concat('org', l_orderkey) AS org", f"upper({uuid_once('concat(l_orderkey, \"-\", l_linenumber)')}) AS id", "concat('Role ', l_returnflag) AS title")
     feeds = lines.groupBy("org").agg(F.to_json(F.struct(F.collect_list(F.struct("id", "title")).alias("jobs"))).alias("body"))
-    address = f"concat('https://jobs.ashbyhq.com/org', o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN concat('/', {uuid('concat(o_orderkey, \"-\", 1 + o_custkey % 4)')}, '/application?x=1') ELSE '' END)"
+    address = f"concat('https://jobs.ashbyhq.com/org', o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN concat('/', {uuid_once('concat(o_orderkey, \"-\", 1 + o_custkey % 4)')}, '/application?x=1') ELSE '' END)"
     return boards.feed_lookup(read(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{address} AS url"), feeds, "o_orderkey")
 
 
@@ -49,7 +54,7 @@ SELECT o_orderkey, board, (1000000 + o_orderkey)::VARCHAR AS job_id, 'Senior Ana
 """)
 def embedded_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC08: boards of all orders' pages, named in markup or guessed from the domain and held against titles and texts."""
-    o = read(spark, sf_dir, "orders")
+    o = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     title = "CASE o_custkey % 3 WHEN 0 THEN concat('The Senior Analyst, ', o_custkey) ELSE concat('Driver ', o_orderkey) END"
     body = "CASE o_custkey % 3 WHEN 1 THEN concat('We seek an analyst (', o_custkey, '), senior by years') ELSE 'We seek you' END"
     pages = o.selectExpr("o_orderkey", f"concat('https://', {_kind(0)}) AS url", f"{title} AS title", f"{_kind(1)} AS html", f"{body} AS text")
