@@ -49,19 +49,21 @@ class Unigram:
         n = len(text)
         score: list = [None] * (n + 1)
         count, open_run = [0] * (n + 1), [False] * (n + 1)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        single = bytearray(n)
-        for end, (size, s) in self.machine.iter(text):
-            ending[end].append((size, s))
-            if size == 1:
-                single[end] = 1
+        ending: list = [()] * n
+        for end, piece in self.machine.iter(text):  # longest first: the earliest start
+            if ending[end]:
+                ending[end].append(piece)
+            else:
+                ending[end] = [piece]
         score[0] = 0.0
         for end in range(1, n + 1):
-            top, at, known = None, 0, False
-            for size, s in sorted(ending[end - 1], reverse=True):  # longest first: the earliest start
-                if (total := score[end - size] + s) is not None and (top is None or total > top):
+            top, at, known, single = None, 0, False, False
+            for size, s in ending[end - 1]:
+                single = single or size == 1
+                total = score[end - size] + s
+                if top is None or total > top:
                     top, at, known = total, end - size, True
-            if not single[end - 1] and (top is None or score[end - 1] + self.unknown > top):
+            if not single and (top is None or score[end - 1] + self.unknown > top):
                 top, at, known = score[end - 1] + self.unknown, end - 1, False
             score[end], open_run[end] = top, not known
             if known:
