@@ -55,3 +55,14 @@ def test_odd_feeds(spark):
     urls = [(1, "https://jobs.ashbyhq.com/a/0a0b0C0D-0000-0000-0000-000000000001/application"), (2, "https://jobs.ashbyhq.com/a"), (3, None), (4, "https://jobs.ashbyhq.com/b/0a0b0c0d-0000-0000-0000-000000000001")]
     found = boards.feed_lookup(spark.createDataFrame(urls, "k int, url string"), feeds, "k").collect()
     assert [tuple(r) for r in found] == [(1, "a", "0a0b0c0d-0000-0000-0000-000000000001", "A")]
+
+
+def test_exploded_sides_are_dealt_out(spark):
+    postings = spark.createDataFrame([(1, "https://x.org/acme/0b9e1c2d-1111-2222-3333-444455556666")], "id int, url string")
+    feeds = spark.createDataFrame([("acme", '{"jobs":[{"id":"0B9E1C2D-1111-2222-3333-444455556666","title":"PM"}]}')], "org string, body string")
+    found = boards.feed_lookup(postings, feeds, "id")
+    assert [tuple(r) for r in found.collect()] == [(1, "acme", "0b9e1c2d-1111-2222-3333-444455556666", "PM")]
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    pages = spark.createDataFrame([(1, "https://www.acme.com/jobs?gh_jid=1234567", "PM", "", "")], "id int, url string, title string, html string, text string")
+    each = spark.createDataFrame([("acme", 1234567, "PM")], "board string, job_id long, title string")
+    assert "SortMergeJoin" in boards.recover(pages, each, "id")._jdf.queryExecution().executedPlan().toString()
