@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import types as T
 
 from lodestack.llm import queries, sequenced
 from lodestack.llm.common import Workspace
@@ -79,3 +80,43 @@ def test_query_takes_every_distinct_row(spark):
     found = queries.op12_changes(spark, sf)
     assert found.count() == wanted.count() and found.select("change_id").exceptAll(wanted.select("change_id")).isEmpty()
     assert found.where("current").groupBy("client_id").count().where("count > 1").isEmpty()
+
+
+class _State:
+    """A state that counts the calls to it."""
+
+    calls = 0
+
+    def __init__(self):
+        self.kept = []
+
+    def get(self):
+        _State.calls += 1
+        return iter(self.kept)
+
+    def put(self, rows):
+        _State.calls += 1
+        self.kept = rows
+
+    def exists(self):
+        _State.calls += 1
+        return bool(self.kept)
+
+    def clear(self):
+        _State.calls += 1
+        self.kept = []
+
+
+def test_calls_to_the_state_are_shared_by_the_clients_of_a_bucket():
+    """Calls of a batch don't grow with its clients, whether they have changes or the clock alone."""
+    handle = type("Handle", (), {"getListState": lambda *_: _State(), "getMapState": lambda *_: _State(), "getValueState": lambda *_: _State()})()
+    applier = sequenced.Applier(T.StructType().add("city", "string"), 2)
+    applier.init(handle)
+    change = {"change_id": 5, "op": "I", "day": 3, "tie": 0, "city": "a"}
+    fed = [(0, c, 1, change | {"n": n}) for c in range(500) for n in (1, 3)] + [(0, c, 1, None) for c in range(250)]
+    _State.calls = 0
+    applied = list(applier.handleInputRows((0,), iter(fed), None))
+    assert [r.client_id for r in applied] == list(range(500)) and {r.n for r in applied} == {1}
+    assert list(applier.handleInputRows((0,), iter([(0, c, 5, None) for c in range(500)]), None)) == []
+    assert {(r.n, r.missed) for r in applier.handleInputRows((0,), iter([(0, c, 6, None) for c in range(500)]), None)} == {(3, 1)}
+    assert _State.calls < 20
