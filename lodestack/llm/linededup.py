@@ -1,14 +1,13 @@
-"""Line dedup: a suffix array over line ids by distributed prefix doubling, and later copies of repeated runs deleted.
+"""Line dedup: a suffix array over line ids by distributed prefix doubling, its longest common prefixes, the maximal runs
+of lines that stood before, and their later copies deleted.
 
 Lines that occur once can't be part of a repeat, so only runs of repeated lines are sorted. Level by level the
 suffixes that start in them are ranked by their first 1, 2, 4, ... lines: the ranks of two halves, sorted in ranges
-over the cluster, give those of the double length. Suffixes of equal rank at a depth are an interval of the suffix
-array whose longest common prefix is at least that deep; a window of any length is named by the two intervals that
-cover its ends. The array is sorted as deep as the longest window that must be named, no deeper."""
+over the cluster, give those of the double length, until no suffixes of equal rank go on. The ranks of all levels tell
+how many lines neighbours in the array share, and a pass over the array what each suffix shares with an earlier one."""
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,39 +33,92 @@ def text_keys(text: Column, prefix: str) -> list[Column]:
     return [F.xxhash64(F.lit(i), text).alias(f"{prefix}{i}") for i in (1, 2)]
 
 
-def windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """(seq, start, m): for every line the shortest run from it on, and the shortest up to it, with min_words words.
+def suffix_array(lines: DataFrame, work: Workspace) -> tuple[list[DataFrame], DataFrame]:
+    """The ranks of all suffixes by their first 1, 2, 4, ... lines, and by all, as (seq, pos, rank, left).
 
-    They cover exactly the lines of all runs of min_words words or more, wherever they are repeated. lines are
-    (seq, pos, w) of repeated lines; a gap in pos ends a run."""
+    lines are (seq, pos, rank, left): repeated lines, with the lines up to where their run of repeated lines ends. A
+    suffix that ends sorts before one that goes on. It is done when no suffixes of equal rank go on."""
+    levels, k = [lines.select("seq", "pos", "rank", "left")], 0
+    while not levels[k].groupBy("rank").agg(F.count("*").alias("c"), F.max("left").alias("m")).where((F.col("c") > 1) & (F.col("m") > 1 << k)).isEmpty():
+        ahead = Window.partitionBy("seq").orderBy("pos").rangeBetween(1 << k, 1 << k)
+        r2 = F.when(F.col("left") > 1 << k, F.first("rank").over(ahead)).otherwise(-1)
+        pairs = work.table(f"pairs{k}", levels[k].select("seq", "pos", "left", F.col("rank").alias("r1"), r2.alias("r2")))
+        k += 1
+        names = ranked(pairs.select("r1", "r2").distinct(), ["r1", "r2"], work, f"rank{k}")
+        levels.append(work.table(f"level{k}", pairs.join(names, ["r1", "r2"]).select("seq", "pos", "rank", "left")))
+    return levels, levels[-1]
+
+
+def common_prefixes(levels: list[DataFrame], array: DataFrame, work: Workspace) -> DataFrame:
+    """(top, rank, seq, pos, lcp): the array inside each group of suffixes that share two lines, and how many lines each
+    shares with the one before it (the first of a group: 0), by halving steps over the ranks of all levels."""
+    two = levels[1].where("left > 1").select("seq", "pos", F.col("rank").alias("top"))
+    shared = two.groupBy("top").count().where("count > 1").select("top")
+    before = Window.partitionBy("top").orderBy("rank", "seq", "pos")
+    pairs = array.select("seq", "pos", "rank").join(two.join(shared, "top"), ["seq", "pos"])
+    pairs = work.table("neighbours", pairs.select("top", "rank", "seq", "pos", F.lag("seq").over(before).alias("pseq"), F.lag("pos").over(before).alias("ppos"), F.lit(0).alias("lcp")))
+    for k in reversed(range(len(levels))):
+        full = levels[k].where(F.col("left") >= 1 << k)  # others are ranked with their ends
+        mine = full.select(F.col("seq").alias("s1"), F.col("pos").alias("p1"), F.col("rank").alias("ra"))
+        other = full.select(F.col("seq").alias("s2"), F.col("pos").alias("p2"), F.col("rank").alias("rb"))
+        found = pairs.join(mine, (F.col("seq") == F.col("s1")) & (F.col("pos") + F.col("lcp") == F.col("p1")), "left")
+        found = found.join(other, (F.col("pseq") == F.col("s2")) & (F.col("ppos") + F.col("lcp") == F.col("p2")), "left")
+        lcp = (F.col("lcp") + F.when(F.col("ra") == F.col("rb"), 1 << k).otherwise(0)).alias("lcp")
+        pairs = work.table(f"lcp{k}", found.select("top", "rank", "seq", "pos", "pseq", "ppos", lcp))
+    return pairs.select("top", "rank", "seq", "pos", "lcp")
+
+
+def longest_earlier(prefixes: DataFrame) -> DataFrame:
+    """(seq, pos, le): the longest run from each suffix of common_prefixes on that also starts further up in the corpus.
+
+    One pass in the array's order: what waits has rising places and rising prefixes, so it is no deeper than the
+    longest run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = pos = None
-        open_lines: deque = deque()  # forward: starts that wait for words, as (pos, words before)
-        cut: deque = deque()  # backward: lines that may start the shortest run up to here
-        total = 0
+        waits: list[tuple] = []  # ((seq, pos), lines shared with the one below)
+        group = None
         for batch in batches:
-            out = set()
-            for s, p, w in zip(*(batch[c].to_pylist() for c in ("seq", "pos", "w"))):
-                if s != seq or p != pos + 1:
-                    open_lines.clear(), cut.clear()
-                    total = 0
-                seq, pos = s, p
-                open_lines.append((p, total))
-                cut.append((p, total))
-                total += w
-                while open_lines and total - open_lines[0][1] >= min_words:
-                    at, _ = open_lines.popleft()
-                    out.add((s, at, p - at + 1))
-                while len(cut) > 1 and total - cut[1][1] >= min_words:
-                    cut.popleft()
-                if total - cut[0][1] >= min_words:
-                    out.add((s, cut[0][0], p - cut[0][0] + 1))
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], names=["seq", "start", "m"])
-
-    ordered = lines.select("seq", "pos", "w").repartition("seq").sortWithinPartitions("seq", "pos")
-    return ordered.mapInArrow(tidy(run), "seq long, start int, m int")
+            out = []
+            for top, s, p, lcp in zip(*(batch[c].to_pylist() for c in ("top", "seq", "pos", "lcp"))):
+                if top != group:
+                    out += [(*at, shared) for at, shared in waits]
+                    waits.clear()
+                    group = top
+                here = (s, p)
+                while waits and (here < waits[-1][0] or lcp <= waits[-1][1]):
+                    at, shared = waits.pop()
+                    out.append((*at, max(shared, lcp) if here < at else shared))
+                    lcp = min(shared, lcp) if here < at else lcp
+                waits.append((here, lcp))
+            yield packed(out)
+        yield packed([(*at, shared) for at, shared in waits])
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["seq", "pos", "le"])
+
+    ordered = prefixes.repartition("top").sortWithinPartitions("top", "rank", "seq", "pos").select("top", "seq", "pos", "lcp")
+    return ordered.mapInArrow(tidy(run), "seq long, pos int, le int")
+
+
+def maximal_runs(lines: DataFrame, work: Workspace) -> DataFrame:
+    """(seq, pos, le, words): the runs of repeated lines that stood before and can't be made longer at either end.
+
+    lines are (seq, pos, w, rank, left)."""
+    levels, array = suffix_array(lines, work)
+    first = lines.groupBy("rank").agg(F.min(F.struct("seq", "pos")).alias("e"))
+    first = work.table("earliest", first)  # so that both sides of the join are dealt for it, and a hot line can be split
+    one = lines.join(first, "rank").select("seq", "pos", "w", ((F.col("seq") != F.col("e.seq")) | (F.col("pos") != F.col("e.pos"))).cast("int").alias("one"))
+    if len(levels) > 1:
+        longer = longest_earlier(common_prefixes(levels, array, work))
+        one = one.join(longer, ["seq", "pos"], "left").withColumn("le", F.greatest("one", F.coalesce("le", F.lit(0))))
+    else:
+        one = one.withColumnRenamed("one", "le")
+    line = Window.partitionBy("seq").orderBy("pos")
+    known = one.withColumn("cum", F.sum("w").over(line)).withColumn("prev", F.first("le").over(line.rangeBetween(-1, -1)))
+    known = work.table("known", known.select("seq", "pos", "w", "cum", "le", "prev"))
+    ends = known.select("seq", F.col("pos").alias("end"), F.col("cum").alias("to"))
+    runs = known.where((F.col("le") > 0) & ~F.col("prev").eqNullSafe(F.col("le") + 1)).withColumn("end", F.col("pos") + F.col("le") - 1)
+    return work.table("runs", runs.join(ends, ["seq", "end"]).select("seq", "pos", "le", (F.col("to") - F.col("cum") + F.col("w")).alias("words")))
 
 
 def deletions(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> DataFrame:
@@ -88,32 +140,14 @@ def deletions(docs: DataFrame, work: Workspace, min_words: int = MIN_WORDS) -> D
     work.drop("rows")
     twice = lines.groupBy("l1", "l2").count().where("count > 1").select("l1", "l2")
     ranks = ranked(twice, ["l1", "l2"], work, "rank0")
-    level = work.table("level0", lines.join(ranks, ["l1", "l2"]).select("seq", "pos", "w", "rank"))
-    spans = work.table("spans", windows(level, min_words))
-    longest = spans.agg(F.max("m")).first()[0] or 0
-    named = [level.select("seq", "pos", F.lit(0).alias("k"), "rank")]
-    k = 0
-    while 2 << k <= longest:
-        ahead = Window.partitionBy("seq").orderBy("pos").rangeBetween(1 << k, 1 << k)
-        pairs = work.table(f"pairs{k}", level.select("seq", "pos", F.col("rank").alias("r1"), F.first("rank").over(ahead).alias("r2")).where("r2 IS NOT NULL"))
-        twice = pairs.groupBy("r1", "r2").count().where("count > 1").select("r1", "r2")
-        k += 1
-        level = work.table(f"level{k}", pairs.join(ranked(twice, ["r1", "r2"], work, f"rank{k}"), ["r1", "r2"]).select("seq", "pos", "rank"))
-        named.append(level.select("seq", "pos", F.lit(k).alias("k"), "rank"))
-        if level.isEmpty():
-            break
-    every = named[0]
-    for n in named[1:]:
-        every = every.unionByName(n)
-    deep = F.length(F.bin("m")) - 1
-    spans = spans.withColumn("k", deep).withColumn("tail", (F.col("start") + F.col("m") - F.pow(F.lit(2), F.col("k"))).cast("int"))
-    a = every.select("seq", F.col("pos").alias("start"), "k", F.col("rank").alias("ra"))
-    b = every.select("seq", F.col("pos").alias("tail"), "k", F.col("rank").alias("rb"))
-    known = work.table("known", spans.join(a, ["seq", "start", "k"]).join(b, ["seq", "tail", "k"]).select("seq", "start", "m", "ra", "rb"))
-    earliest = known.groupBy("m", "ra", "rb").agg(F.min(F.struct("seq", "start")).alias("e"), F.count("*").alias("c")).where("c > 1").drop("c")
-    earliest = work.table("earliest", earliest)  # so that both sides of the join are dealt for it, and a hot window can be split
-    later = known.join(earliest, ["m", "ra", "rb"]).where((F.col("seq") != F.col("e.seq")) | (F.col("start") != F.col("e.start")))
-    gone = later.select("seq", F.explode(F.sequence("start", F.col("start") + F.col("m") - 1)).alias("pos")).groupBy("seq").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    line = Window.partitionBy("seq").orderBy("pos")
+    placed = lines.join(ranks, ["l1", "l2"]).select("seq", "pos", "w", "rank").withColumn("island", F.col("pos") - F.row_number().over(line))
+    left = (F.max("pos").over(Window.partitionBy("seq", "island")) - F.col("pos") + 1).alias("left")
+    runs = maximal_runs(work.table("level0", placed.select("seq", "pos", "w", "rank", left)), work).where(F.col("words") >= min_words)
+    # runs of a text end no earlier than those that start before them, so each needs to tell only what lies behind the last
+    behind = F.greatest("pos", F.coalesce(F.lag(F.col("pos") + F.col("le")).over(line), F.lit(0)))
+    new = runs.select("seq", behind.alias("start"), (F.col("pos") + F.col("le") - 1).alias("end")).where("start <= end")
+    gone = new.select("seq", F.explode(F.sequence("start", "end")).alias("pos")).groupBy("seq").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     return work.table("gone", seqs.join(gone, "seq", "left").select("t1", "t2", F.col("doc_id").alias("_id"), "gone"))
 
 
