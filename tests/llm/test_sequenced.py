@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import types as T
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from lodestack.llm import queries, sequenced
 from lodestack.llm.common import Workspace
@@ -120,3 +121,12 @@ def test_calls_to_the_state_are_shared_by_the_clients_of_a_bucket():
     assert list(applier.handleInputRows((0,), iter([(0, c, 5, None) for c in range(500)]), None)) == []
     assert {(r.n, r.missed) for r in applier.handleInputRows((0,), iter([(0, c, 6, None) for c in range(500)]), None)} == {(3, 1)}
     assert _State.calls < 20
+
+
+def test_a_start_a_batch_and_none_for_the_end(spark, monkeypatch):
+    """The waits that the last batch leaves end in its own start: every start opens the state of every partition."""
+    starts, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda *a, **b: starts.append(a[1:]) or start(*a, **b))
+    rows = [(1, 1, 1, 1, 1, "I", 0, "a", 1.0), (1, 2, 3, 1, 1, "U", 1, "b", None), (2, 3, 2, 30, 2, "I", 2, "c", 2.0), (2, 4, 4, 30, 2, "D", 3, None, None)]
+    assert got(sequenced.apply_changes(spark.createDataFrame([(*r, "own", 0) for r in rows], SCHEMA), 2)) == walk(rows, 2)
+    assert len(starts) == 2
